@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qualweave.llm import exact_dedup, mixing
+from qualweave.llm import exact_dedup, fingerprint, mixing, toxicity
 from qualweave.session import ensure_workers, table
 
 
@@ -21,6 +21,11 @@ from (select *, max(doc_id) over (partition by text_sha256) as keep_id,
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -64,5 +69,14 @@ select doc_id, size, source_size, target,
 from x
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op8_mix_sources": op8_mix_sources}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op8_mix_sources": op8_mix_sources,
+    "op10_fingerprints": op10_fingerprints,
+}
 SQL = {"op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
