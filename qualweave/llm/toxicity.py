@@ -124,7 +124,7 @@ def score(model: Model, features: Features, text: str | None) -> float:
 def _featurize(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     features = Features()
     for pdf in source:
-        yield pd.DataFrame({"toxic": pdf["toxic"], "f": [features(t) for t in pdf["text"]]})
+        yield pd.DataFrame({"place": pdf["place"], "toxic": pdf["toxic"], "f": [features(t) for t in pdf["text"]]})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, usable=None) -> Model:
@@ -136,8 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # fit_rows bounds what is broadcast and what is collected.
     spark = docs.sparkSession
     listed = spark.createDataFrame(chosen.toPandas(), chosen.schema)
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(listed), id_col).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).select("toxic", "text")
-    sample = rows.mapInPandas(_featurize, "toxic int, f array<int>").toArrow()
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(listed), id_col).select(F.xxhash64(id_col, "text").alias("place"), "toxic", "text")
+    sample = rows.mapInPandas(_featurize, "place long, toxic int, f array<int>").toArrow().sort_by("place")
     column = sample.column("f").combine_chunks()
     column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
     flat, edges = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
