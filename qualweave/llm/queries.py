@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qualweave.llm import exact_dedup, fingerprint, mixing, toxicity
+from qualweave.llm import exact_dedup, fingerprint, mixing, near_dedup, sentencepiece_lattice, toxicity
 from qualweave.session import ensure_workers, table
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_workers(spark)
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
@@ -21,6 +26,11 @@ from (select *, max(doc_id) over (partition by text_sha256) as keep_id,
 """
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_workers(spark)
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -74,7 +84,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op8_mix_sources": op8_mix_sources,
     "op10_fingerprints": op10_fingerprints,
