@@ -24,6 +24,8 @@ def ensure_workers(spark: SparkSession) -> None:
     A cluster ships it with --py-files or an image; this covers a checkout that
     driver and workers share, as in tests.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts need less
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
