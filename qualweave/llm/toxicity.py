@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS = 16_000
+FIT_ROWS = 10_000
 BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5, 6)
 EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.02, 1e-3
@@ -90,7 +90,6 @@ def fit(features: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     for f, y in zip(features, toxic, strict=True):
         counts[int(y), f] += 1
     ratio = (np.log(counts[1] / (n1 + 2)) - np.log(counts[0] / (n0 + 2))).astype(np.float32)
-    values = [_values(ratio, f).astype(np.float32) for f in features]
     class_weight = np.where(toxic, n0 / n1, 1.0) / 2
     rng = np.random.default_rng(seed)
     w, m, v = (np.zeros(BUCKETS + 1) for _ in range(3))
@@ -100,7 +99,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
             at = np.concatenate([features[i] for i in rows])
-            x = np.concatenate([values[i] for i in rows])
+            x = np.concatenate([_values(ratio, features[i]) for i in rows])
             owner = np.repeat(np.arange(len(rows)), [len(features[i]) for i in rows])
             z = np.bincount(owner, x * w[at], len(rows)) + w[-1]
             error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - toxic[rows]) * class_weight[rows] / len(rows)
@@ -137,11 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     listed = spark.createDataFrame(chosen.toPandas(), chosen.schema)
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(listed), id_col).select(F.xxhash64(id_col, "text").alias("place"), "toxic", "text")
-    sample = rows.mapInPandas(_featurize, "place long, toxic int, f array<int>").toArrow().sort_by("place")
-    column = sample.column("f").combine_chunks()
-    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
-    flat, edges = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return fit([flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], np.asarray(sample.column("toxic").to_pylist(), dtype=np.int64))
+    sample = rows.mapInPandas(_featurize, "place long, toxic int, f array<int>").toArrow()
+    features = [f.values.to_numpy(zero_copy_only=False)[f.offsets[0].as_py() :] for f in sample.column("f").chunks]
+    edges = [f.offsets.to_numpy() - f.offsets[0].as_py() for f in sample.column("f").chunks]
+    parts = [v[a:b] for v, e in zip(features, edges, strict=True) for a, b in zip(e[:-1], e[1:], strict=True)]
+    order = np.argsort(sample.column("place").to_numpy(), kind="stable")
+    labels = sample.column("toxic").to_numpy()[order]
+    return fit([parts[i] for i in order], labels)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = SCORE) -> DataFrame:
