@@ -44,8 +44,11 @@ SAMPLES = 3
 SEED = 20_240_601
 #: Words kept built between texts, by each task.
 KEPT_WORDS = 150_000
+#: Longer words are built character by character.
+LONG_WORD = 48
 UNIT = re.compile(r" *[^ \t\n\x0b\x0c]+| +|[\t\n\x0b\x0c]")
 U = np.uint64
+PIECE_BASE = U(0x9FB21C651E98DF25)
 _K = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)]
 
 
@@ -60,9 +63,20 @@ class Vocabulary:
     longest: int
     by_word: bool
 
-    @property
-    def spelt(self) -> float:
-        return min(self.logp)
+    def __post_init__(self) -> None:
+        self.spelt = min(self.logp)
+        self.logps = np.array(self.logp)
+        keys = np.zeros(len(self.ids), U)
+        values = np.fromiter(self.ids.values(), np.int64, len(self.ids))
+        for row, p in enumerate(self.ids):
+            h = 0
+            for c in p:
+                h = (h * int(PIECE_BASE) + ord(c) + 1) & (1 << 64) - 1
+            keys[row] = h
+        order = np.argsort(keys)
+        self.keys, self.key_ids = keys[order], values[order]
+        if len(np.unique(keys)) != len(keys):
+            raise ValueError("two pieces have the same hash")
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -113,13 +127,74 @@ class Lattices:
         return old
 
     def build(self, units: list[str]) -> None:
-        """Adds words that aren't there yet."""
+        """Adds words that aren't there yet, all at once but for long ones."""
+        long = [x for x in units if len(x) > LONG_WORD]
+        short = [x for x in units if len(x) <= LONG_WORD]
+        if short:
+            self._build_short(short)
+        if long:
+            self._build_long(long)
+
+    def _build_short(self, units: list[str]) -> None:
+        v = self.v
+        size = np.array([len(x) for x in units])
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+        n, base = len(code), np.cumsum(size) - size
+        end = np.repeat(base + size, size)
+        left = end - np.arange(n)
+        width = min(v.longest, int(size.max()))
+        # piece[i, k]: the piece of k+1 characters at character i, -1 if there is none.
+        piece = np.full((n, width), -1, np.int64)
+        h = np.zeros(n, U)
+        for k in range(width):
+            at = np.flatnonzero(left > k)
+            h[at] = h[at] * PIECE_BASE + code[at + k] + U(1)
+            found = np.minimum(np.searchsorted(v.keys, h[at]), len(v.keys) - 1)
+            piece[at, k] = np.where(v.keys[found] == h[at], v.key_ids[found], -1)
+        weight = np.where(piece >= 0, v.logps[piece], -np.inf)
+        bare = np.flatnonzero(piece[:, 0] < 0)
+        if len(bare):
+            c = code[bare].astype(np.int64)
+            piece[bare, 0] = len(v.pieces) + c
+            weight[bare, 0] = v.spelt * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        # Backward sums, the last characters of all words first.
+        beta = np.zeros(n + 1)
+        order = np.argsort(left, kind="stable")
+        edges = np.searchsorted(left[order], np.arange(1, int(size.max()) + 2))
+        steps = np.arange(1, width + 1)
+        for d in range(len(edges) - 1):
+            at = order[edges[d] : edges[d + 1]]
+            k = min(width, d + 1)
+            to = at[:, None] + steps[:k]
+            w = weight[at, :k] + np.where(to < end[at][:, None], beta[np.minimum(to, n)], 0.0)
+            top = w.max(axis=1)
+            beta[at] = top + np.log(np.exp(w - top[:, None]).sum(axis=1))
+        to = np.arange(n)[:, None] + steps
+        inside = to < end[:, None]
+        w = weight + np.where(inside, beta[np.minimum(to, n)], 0.0) - beta[:n, None]
+        some = np.isfinite(w)
+        count = some.sum(axis=1)
+        w[count == 1] = np.where(some[count == 1], 0.0, -np.inf)
+        w, to, inside, piece, some = w[:, ::-1], to[:, ::-1], inside[:, ::-1], piece[:, ::-1], some[:, ::-1]
+        cum = np.cumsum(np.exp(w), axis=1)
+        stop = np.cumsum(count)
+        cum, lps, pieces = cum[some], w[some], piece[some]
+        cum[stop - 1] = 2.0
+        nexts = np.where(inside, to + self.nodes, -1)[some]
+        nodes, total = self.nodes + n, self.edges + int(stop[-1])
+        self._room("first", nodes + 1)[self.nodes : nodes] = self.edges + stop - count
+        self.first[nodes] = total
+        for name, values in (("cum", cum), ("logp", lps), ("to", nexts), ("piece", pieces)):
+            self._room(name, total)[self.edges : total] = values
+        self.root.update(zip(units, (self.nodes + base).tolist(), strict=True))
+        self.nodes, self.edges = nodes, total
+
+    def _build_long(self, units: list[str]) -> None:
+        """The same for long words, one by one."""
         v, ids, logp, longest, spelt = self.v, self.v.ids, self.v.logp, self.v.longest, self.v.spelt
         first, cum, lps, to, piece = [], [], [], [], []
         nodes, edges = self.nodes, self.edges
         for x in units:
-            if x in self.root:
-                continue
             n, base = len(x), nodes
             self.root[x] = base
             beta = [0.0] * (n + 1)
@@ -283,10 +358,21 @@ def top_k(lattices: Lattices, roots: np.ndarray, key: int, k: int) -> list[Sampl
 
 
 class Encoder:
+    """Encodes runs of texts; one for each vocabulary in a worker, so that words stay built between tasks."""
+
+    _kept: dict[int, "Encoder"] = {}
+
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v, self.lattices = vocabulary, Lattices(vocabulary)
         self.ascii = np.array(vocabulary.bytes[:128], np.int64)
 
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> "Encoder":
+        mark = hash((len(vocabulary.pieces), int(vocabulary.keys.sum()), int((vocabulary.keys * vocabulary.key_ids.astype(U)).sum())))
+        if mark not in cls._kept:
+            cls._kept = {mark: cls(vocabulary)}
+        return cls._kept[mark]
+
     def ids(self, edges: np.ndarray) -> np.ndarray:
         out = self.lattices.piece[edges]
         n = len(self.v.pieces)
@@ -303,20 +389,21 @@ class Encoder:
                 out = np.concatenate([*parts, out[last:]]).astype(np.int64)
         return out.astype(np.int32)
 
-    def __call__(self, text: str | None, key: int, k: int) -> list[tuple[np.ndarray, Sample]]:
-        if not text:
-            nothing = np.zeros(0, np.int64)
-            return [(nothing.astype(np.int32), Sample(nothing, nothing, 0.0, 0.0))]
-        text = f" {text}"
-        units = UNIT.findall(text) if self.v.by_word else [text]
+    def __call__(self, texts: list[str | None], keys: list[int], k: int) -> Iterator[list[tuple[np.ndarray, Sample]]]:
+        """The samples of each text, best first."""
         if len(self.lattices.root) > KEPT_WORDS:
             self.lattices.reset()
-        root = self.lattices.root
-        fresh = set(units).difference(root)
+        units = [(UNIT.findall(f" {t}") if self.v.by_word else [f" {t}"]) if t else [] for t in texts]
+        fresh = set().union(*units).difference(self.lattices.root)
         if fresh:
             self.lattices.build(sorted(fresh))
-        roots = np.fromiter(map(root.__getitem__, units), np.int64, len(units))
-        return [(self.ids(s.edges), s) for s in top_k(self.lattices, roots, key, k)]
+        root = self.lattices.root.__getitem__
+        for key, own in zip(keys, units, strict=True):
+            if not own:
+                nothing = np.zeros(0, np.int64)
+                yield [(nothing.astype(np.int32), Sample(nothing, nothing, 0.0, 0.0))]
+            else:
+                yield [(self.ids(s.edges), s) for s in top_k(self.lattices, np.fromiter(map(root, own), np.int64, len(own)), key, k)]
 
 
 class Decoder:
@@ -340,14 +427,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     id_type = docs.schema[id_col].dataType
 
     def sampled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = Encoder.of(shared.value), Decoder(shared.value)
         for whole in source:
             for start in range(0, len(whole), 64):
                 batch = whole.slice(start, 64)
                 texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 rows, pieces, out = [], [], {c: [] for c in ("sample", "log_prob", "perturbed", "log_inclusion", "round_trip")}
-                for i, (text, key) in enumerate(zip(texts, keys, strict=True)):
-                    for j, (ids, s) in enumerate(encoder(text, key, samples), 1):
+                for i, (text, found) in enumerate(zip(texts, encoder(texts, keys, samples), strict=True)):
+                    for j, (ids, s) in enumerate(found, 1):
                         rows.append(i)
                         pieces.append(ids)
                         for c, x in zip(out, (j, s.log_prob, s.perturbed, s.log_inclusion, decoder(ids.tolist()) == (text or "")), strict=True):
