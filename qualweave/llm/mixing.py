@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualweave.llm.graphs import sized as few
 from qualweave.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,12 +99,30 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", (F.col("prefix") - 1).alias("threshold"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """id, size, source_size, target, taken for each row of docs."""
-    sized = cut(docs.select(F.col(id_col), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h")))
+def _plan(sized: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """One row for each source: b_source, source_size, target, whole (times all are taken), threshold (of those taken once more)."""
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budgets = targets.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    per_source = budgets.join(thresholds(sized.select("source", "size", "h"), budgets).withColumnRenamed("source", "t_source"), _same(F.col("source"), F.col("t_source")), "left").drop("t_source").withColumnRenamed("source", "b_source")
-    times = F.col("whole") + (F.col("h") <= F.col("threshold")).cast("long")
-    return sized.join(cut(per_source), _same(F.col("source"), F.col("b_source")), "left").select(id_col, "size", "source_size", "target", (F.least(times, F.lit(most)) * F.col("size")).alias("taken"))
+    per_source = budgets.join(thresholds(sized.select("source", "size", "h"), budgets).withColumnRenamed("source", "t_source"), _same(F.col("source"), F.col("t_source")), "left")
+    return cut(per_source.select(F.col("source").alias("b_source"), "source_size", "target", "whole", "threshold"))
+
+
+def _times(h: Column, most: int) -> Column:
+    return F.least(F.col("whole") + (h <= F.col("threshold")).cast("long"), F.lit(most))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """id, size, source_size, target, taken for each row of docs."""
+    sized = cut(docs.select(F.col(id_col), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h")))
+    plan = _plan(sized, weights, share, most)
+    return sized.join(plan, _same(F.col("source"), F.col("b_source")), "left").select(id_col, "size", "source_size", "target", (_times(F.col("h"), most) * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: rows of docs, all columns, each as many times as it is taken. Texts aren't shuffled while the sources are few."""
+    light = cut(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h")))
+    plan = few(_plan(light, weights, share, most).select("b_source", "whole", "threshold").withColumnsRenamed({c: f"__{c}" for c in ("b_source", "whole", "threshold")}))
+    times = F.least(F.col("__whole") + (hash_of(F.col(id_col)) <= F.col("__threshold")).cast("long"), F.lit(most))
+    placed = docs.join(plan, _same(F.col(source_col), F.col("__b_source"))).withColumn("__times", times).where("__times > 0")
+    return placed.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)

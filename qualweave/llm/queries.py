@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qualweave.llm import exact_dedup, fingerprint, mixing, near_dedup, sentencepiece_lattice, toxicity
+from qualweave.llm import exact_dedup, fingerprint, html_diff, mixing, near_dedup, secret_forest, sentencepiece_lattice, substring_chain, toxicity, url_trust
 from qualweave.session import ensure_workers, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_workers(spark)
     return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"))
@@ -36,6 +41,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    return substring_chain.passages(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -79,16 +94,24 @@ select doc_id, size, source_size, target,
 from x
 """
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_mix_sources": op8_mix_sources,
+    "op9_url_filter": op9_url_filter,
     "op10_fingerprints": op10_fingerprints,
 }
 SQL = {"op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
