@@ -15,8 +15,8 @@ one per word, and distinct words are built once.
 
 Models of rank-scored pieces (BPE) have no probabilities; a piece of rank r then
 weighs 1 / (r + 2.7), as word frequencies do. A character without a piece is spelt
-in byte pieces. Uniform variables are hashes of the row's key, the sample, the word
-and the step; nothing depends on partitions or batches.
+in byte pieces. Random numbers come from a generator that the row's key seeds; nothing
+depends on partitions or batches.
 
 Defined cases: null text is empty; an empty text has one segmentation, without
 pieces; a text with fewer than K segmentations gives all it has, with inclusion
@@ -37,19 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualweave.llm import words
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 20_240_601
 #: Words kept built between texts, by each task.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 #: Longer words are built character by character.
 LONG_WORD = 48
 UNIT = re.compile(r" *[^ \t\n\x0b\x0c]+| +|[\t\n\x0b\x0c]")
 U = np.uint64
 PIECE_BASE = U(0x9FB21C651E98DF25)
-_K = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)]
 
 
 @dataclass
@@ -66,17 +63,19 @@ class Vocabulary:
     def __post_init__(self) -> None:
         self.spelt = min(self.logp)
         self.logps = np.array(self.logp)
-        keys = np.zeros(len(self.ids), U)
-        values = np.fromiter(self.ids.values(), np.int64, len(self.ids))
-        for row, p in enumerate(self.ids):
+        # Hashes of all beginnings of pieces, with the piece that a beginning is, or -1.
+        table: dict[int, tuple[str, int]] = {}
+        for p, i in self.ids.items():
             h = 0
-            for c in p:
+            for k, c in enumerate(p, 1):
                 h = (h * int(PIECE_BASE) + ord(c) + 1) & (1 << 64) - 1
-            keys[row] = h
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], values[order]
-        if len(np.unique(keys)) != len(keys):
-            raise ValueError("two pieces have the same hash")
+                known, value = table.setdefault(h, (p[:k], -1))
+                if known != p[:k]:
+                    raise ValueError("two beginnings of pieces have the same hash")
+                if k == len(p):
+                    table[h] = (known, i)
+        self.keys = np.array(sorted(table), U)
+        self.key_ids = np.array([table[h][1] for h in self.keys.tolist()], np.int64)
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -101,6 +100,12 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, ids, logp, byte_ids, max(map(len, ids)), by_word)
 
 
+def _rest(log_prob: np.ndarray) -> np.ndarray:
+    """Log of what an edge's siblings have of its node's mass; -inf for an only edge."""
+    with np.errstate(divide="ignore"):
+        return np.where(log_prob < 0, np.log(-np.expm1(np.minimum(log_prob, -1e-300))), -np.inf)
+
+
 class Lattices:
     """Lattices of distinct words in flat arrays: nodes with edges, likeliest first, cumulative probabilities."""
 
@@ -114,8 +119,9 @@ class Lattices:
         self.first = np.zeros(1024, np.int64)
         self.cum = np.zeros(4096)
         self.logp = np.zeros(4096)
-        self.to = np.zeros(4096, np.int64)
-        self.piece = np.zeros(4096, np.int64)
+        self.rest = np.zeros(4096)
+        self.to = np.zeros(4096, np.int32)
+        self.piece = np.zeros(4096, np.int32)
 
     def _room(self, name: str, need: int) -> np.ndarray:
         old = getattr(self, name)
@@ -142,49 +148,71 @@ class Lattices:
         n, base = len(code), np.cumsum(size) - size
         end = np.repeat(base + size, size)
         left = end - np.arange(n)
-        width = min(v.longest, int(size.max()))
-        # piece[i, k]: the piece of k+1 characters at character i, -1 if there is none.
-        piece = np.full((n, width), -1, np.int64)
-        h = np.zeros(n, U)
-        for k in range(width):
-            at = np.flatnonzero(left > k)
-            h[at] = h[at] * PIECE_BASE + code[at + k] + U(1)
-            found = np.minimum(np.searchsorted(v.keys, h[at]), len(v.keys) - 1)
-            piece[at, k] = np.where(v.keys[found] == h[at], v.key_ids[found], -1)
-        weight = np.where(piece >= 0, v.logps[piece], -np.inf)
-        bare = np.flatnonzero(piece[:, 0] < 0)
-        if len(bare):
-            c = code[bare].astype(np.int64)
-            piece[bare, 0] = len(v.pieces) + c
-            weight[bare, 0] = v.spelt * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-        # Backward sums, the last characters of all words first.
+        # Pieces at each character: beginnings are followed while some piece has them.
+        at, h = np.arange(n), np.zeros(n, U)
+        froms, tos, ids = [], [], []
+        for k in range(v.longest):
+            if k:
+                more = left[at] > k
+                at, h = at[more], h[more]
+            if not len(at):
+                break
+            h = h * PIECE_BASE + code[at + k] + U(1)
+            found = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
+            begins = v.keys[found] == h
+            at, h, piece = at[begins], h[begins], v.key_ids[found[begins]]
+            whole = piece >= 0
+            froms.append(at[whole])
+            tos.append(at[whole] + k + 1)
+            ids.append(piece[whole])
+            if not k:
+                bare = np.ones(n, bool)
+                bare[froms[0]] = False
+                bare = np.flatnonzero(bare)
+        froms.append(bare)
+        tos.append(bare + 1)
+        ids.append(len(v.pieces) + code[bare].astype(np.int64))
+        source, to, piece = (np.concatenate(x) for x in (froms, tos, ids))
+        weight = np.empty(len(piece))
+        spelt = len(piece) - len(bare)
+        weight[:spelt] = v.logps[piece[:spelt]]
+        c = code[bare]
+        weight[spelt:] = v.spelt * (1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF))
+        # Backward sums, the last characters of all words first; edges of a character are together, long ones first.
+        order = np.lexsort((-to, source, left[source]))
+        source, to, piece, weight = source[order], to[order], piece[order], weight[order]
+        inside = to < end[source]
         beta = np.zeros(n + 1)
-        order = np.argsort(left, kind="stable")
-        edges = np.searchsorted(left[order], np.arange(1, int(size.max()) + 2))
-        steps = np.arange(1, width + 1)
-        for d in range(len(edges) - 1):
-            at = order[edges[d] : edges[d + 1]]
-            k = min(width, d + 1)
-            to = at[:, None] + steps[:k]
-            w = weight[at, :k] + np.where(to < end[at][:, None], beta[np.minimum(to, n)], 0.0)
-            top = w.max(axis=1)
-            beta[at] = top + np.log(np.exp(w - top[:, None]).sum(axis=1))
-        to = np.arange(n)[:, None] + steps
-        inside = to < end[:, None]
-        w = weight + np.where(inside, beta[np.minimum(to, n)], 0.0) - beta[:n, None]
-        some = np.isfinite(w)
-        count = some.sum(axis=1)
-        w[count == 1] = np.where(some[count == 1], 0.0, -np.inf)
-        w, to, inside, piece, some = w[:, ::-1], to[:, ::-1], inside[:, ::-1], piece[:, ::-1], some[:, ::-1]
-        cum = np.cumsum(np.exp(w), axis=1)
-        stop = np.cumsum(count)
-        cum, lps, pieces = cum[some], w[some], piece[some]
-        cum[stop - 1] = 2.0
-        nexts = np.where(inside, to + self.nodes, -1)[some]
-        nodes, total = self.nodes + n, self.edges + int(stop[-1])
-        self._room("first", nodes + 1)[self.nodes : nodes] = self.edges + stop - count
+        start = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
+        depth = left[source[start]]
+        steps = np.searchsorted(depth, np.arange(1, int(size.max()) + 2))
+        count = np.diff(np.concatenate([start, [len(source)]]))
+        w = np.empty(len(source))
+        for d in range(len(steps) - 1):
+            p, q = int(steps[d]), int(steps[d + 1])
+            if p == q:
+                continue
+            a, b = int(start[p]), int(start[q]) if q < len(start) else len(source)
+            x = weight[a:b] + np.where(inside[a:b], beta[to[a:b]], 0.0)
+            own = start[p:q] - a
+            top = np.maximum.reduceat(x, own)
+            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[p:q])), own))
+            beta[source[start[p:q]]] = total
+            w[a:b] = x - np.repeat(total, count[p:q])
+        order = np.argsort(source, kind="stable")
+        source, to, piece, w, inside = source[order], to[order], piece[order], w[order], inside[order]
+        start = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
+        count = np.diff(np.concatenate([start, [len(source)]]))
+        only = start[count == 1]
+        w[only] = 0.0
+        p = np.exp(w)
+        cum = np.cumsum(p)
+        cum -= np.repeat(cum[start] - p[start], count)
+        cum[start + count - 1] = 2.0
+        nodes, total = self.nodes + n, self.edges + len(source)
+        self._room("first", nodes + 1)[self.nodes : nodes] = self.edges + start
         self.first[nodes] = total
-        for name, values in (("cum", cum), ("logp", lps), ("to", nexts), ("piece", pieces)):
+        for name, values in (("cum", cum), ("logp", w), ("rest", _rest(w)), ("to", np.where(inside, to + self.nodes, -1)), ("piece", piece)):
             self._room(name, total)[self.edges : total] = values
         self.root.update(zip(units, (self.nodes + base).tolist(), strict=True))
         self.nodes, self.edges = nodes, total
@@ -228,19 +256,19 @@ class Lattices:
         if nodes > self.nodes:
             self._room("first", nodes + 1)[self.nodes : nodes] = first
             self.first[nodes] = edges
-            for name, values in (("cum", cum), ("logp", lps), ("to", to), ("piece", piece)):
+            for name, values in (("cum", cum), ("logp", lps), ("rest", _rest(np.array(lps))), ("to", to), ("piece", piece)):
                 self._room(name, edges)[self.edges : edges] = values
             self.nodes, self.edges = nodes, edges
 
-    def walk(self, start: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, start: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one random path through each lattice from its start node (-1: nothing left), and how many each has."""
         n = len(start)
         active = np.flatnonzero(start >= 0)
         node, taken, step = start[active], [], 0
         first, cum, to = self.first, self.cum, self.to
         counts = np.zeros(n, np.int64)
-        while len(active) > 3:
-            u = words.unit(words.mix(keys[active] + np.array([step], U) * _K[1]))
+        while len(active) > 12:
+            u = rng.random(len(active))
             e = first[node]
             wait = np.flatnonzero(u > cum[e])
             while len(wait):
@@ -249,15 +277,13 @@ class Lattices:
             taken.append((active, e))
             counts[active] += 1
             node = to[e]
-            alive = node >= 0
+            alive = np.flatnonzero(node >= 0)
             active, node, step = active[alive], node[alive], step + 1
         tails = []
         for a, at in zip(active.tolist(), node.tolist(), strict=True):
-            out = []
-            block = 64
+            out: list[int] = []
             while at >= 0:
-                us = words.unit(words.mix(keys[a] + np.arange(step + len(out), step + len(out) + block, dtype=U) * _K[1])).tolist()
-                for u in us:
+                for u in rng.random(8 if len(out) < 64 else 4096).tolist():
                     e = int(first[at])
                     while u > cum[e]:
                         e += 1
@@ -265,7 +291,6 @@ class Lattices:
                     at = int(to[e])
                     if at < 0:
                         break
-                block = min(65_536, block * 4)
             tails.append((a, out))
             counts[a] += len(out)
         offset = np.cumsum(counts) - counts
@@ -292,65 +317,54 @@ def _truncated(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(mass - top) - np.log(u)))
 
 
-def _rest(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
-    """Log of what an edge's siblings have of its node's mass; -inf for an only edge."""
-    lp = lattices.logp[edges]
-    with np.errstate(divide="ignore"):
-        return np.where(lp < 0, np.log(-np.expm1(lp)), -np.inf)
-
-
 def top_k(lattices: Lattices, roots: np.ndarray, key: int, k: int) -> list[Sample]:
-    """The k best segmentations under Gumbel noise, best first; fewer if there are no more."""
-    n = len(roots)
-    seed = words.mix(np.array([key & (1 << 64) - 1], U) + U(SEED))[0]
-    places = words.mix(seed + np.arange(n + 1, dtype=U) * _K[0])
+    """The k best segmentations under Gumbel noise, best first; fewer if there are no more.
 
-    def draw(sample: int, what: int, count: int) -> np.ndarray:
-        stream = words.mix(np.array([seed]) + np.array([sample], U) * _K[2] + np.array([what], U) * _K[3])
-        return words.unit(words.mix(stream + np.arange(count, dtype=U) * _K[0]))
-
-    best = -math.log(-math.log(draw(0, 0, 1)[0]))
-    path, counts = lattices.walk(roots, places[:n])
-    samples, fringe = [], []  # fringe: of each sample, the best value left at each of its levels, the masses before the levels
+    All random numbers come from one Philox generator with the row's key, drawn in an order that the text alone decides.
+    """
+    n = len(roots)
+    rng = np.random.Generator(np.random.Philox(key=[key & (1 << 64) - 1, SEED]))
+    best = -math.log(-math.log(1.0 - rng.random()))
+    path, counts = lattices.walk(roots, rng)
+    samples, fringe = [], []  # fringe: of each sample, the best values left at its levels, the masses before the levels
 
-    def admit(edges: np.ndarray, word: np.ndarray, value: float, since: int, j: int) -> None:
+    def admit(edges: np.ndarray, word: np.ndarray, value: float, since: int) -> None:
         lp = lattices.logp[edges]
-        before = np.cumsum(lp) - lp
+        upto = np.cumsum(lp)
+        before = upto - lp
         left = np.full(len(edges), -np.inf)
-        left[since:] = _truncated(before[since:] + _rest(lattices, edges[since:]), value, draw(j, 1, len(edges) - since))
-        samples.append(Sample(edges, word, float(lp.sum()), value))
+        left[since:] = _truncated(before[since:] + lattices.rest[edges[since:]], value, 1.0 - rng.random(len(edges) - since))
+        samples.append(Sample(edges, word, float(upto[-1]), value))
         fringe.append((left, before))
 
-    admit(path, np.repeat(np.arange(n), counts), best, 0, 0)
+    admit(path, np.repeat(np.arange(n), counts), best, 0)
     used: dict[tuple[int, int], list[int]] = {}
-    kappa = -math.inf
     while True:
-        tops = [(float(f[0].max()), j) for j, f in enumerate(fringe) if len(f[0])]
-        kappa, j = max(tops, default=(-math.inf, 0))
+        kappa, j = max((float(f[0].max()), -j) for j, f in enumerate(fringe))
         if len(samples) == k or kappa == -math.inf:
             break
+        j = -j
         left, before = fringe[j]
         at = int(left.argmax())
-        parent, index = samples[j], len(samples)
+        parent = samples[j]
         gone = used.setdefault((j, at), [int(parent.edges[at])])
         # Edges of a node are stored together; find the node's run.
         node = int(np.searchsorted(lattices.first[: lattices.nodes], gone[0], "right")) - 1
         options = [e for e in range(int(lattices.first[node]), int(lattices.first[node + 1])) if e not in gone]
         p = np.exp(lattices.logp[options])
-        u = draw(index, 2, 2)
-        pick = options[min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum(), "right")), len(options) - 1)]
+        pick = options[min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), "right")), len(options) - 1)]
         gone.append(pick)
         others = [e for e in options if e != pick]
         mass = before[at] + math.log(float(np.exp(lattices.logp[others]).sum())) if others else -math.inf
-        left[at] = _truncated(np.array([mass]), kappa, u[1:])[0]
+        left[at] = _truncated(np.array([mass]), kappa, 1.0 - rng.random(1))[0]
         w = int(parent.word[at])
         start = roots.copy()
         start[:w] = -1
         start[w] = lattices.to[pick]
-        tail, tail_counts = lattices.walk(start, words.mix(places[:n] + np.array([index], U) * _K[2]))
+        tail, tail_counts = lattices.walk(start, rng)
         edges = np.concatenate([parent.edges[:at], [pick], tail])
         word = np.concatenate([parent.word[: at + 1], np.repeat(np.arange(n), tail_counts)])
-        admit(edges, word, kappa, at + 1, index)
+        admit(edges, word, kappa, at + 1)
     for s in samples:
         over = s.log_prob - kappa
         s.log_inclusion = 0.0 if kappa == -math.inf else (over if over < -30 else math.log(-math.expm1(-math.exp(min(over, 700.0)))))
@@ -374,7 +388,7 @@ class Encoder:
         return cls._kept[mark]
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
-        out = self.lattices.piece[edges]
+        out = self.lattices.piece[edges].astype(np.int64)
         n = len(self.v.pieces)
         spelt = np.flatnonzero(out >= n)
         if len(spelt):
