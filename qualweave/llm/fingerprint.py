@@ -34,8 +34,8 @@ def add_fingerprint(df: DataFrame, text: str, name: str, scale: int = SCALE) ->
     n = F.size(hashes)
     windows = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(SHINGLE)]))
     all_hashes = F.when(n >= SHINGLE, windows).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
-    ceiling = -(1 << 63) + (1 << 64) // scale
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.filter(all_hashes, lambda h: h < ceiling)))).drop(hashes)
+    last = -(1 << 63) + (1 << 64) // scale - 1
+    return df.withColumn(name, F.array_sort(F.array_distinct(F.filter(all_hashes, lambda h: h <= last)))).drop(hashes)
 
 
 def as_text(fingerprint: Column) -> Column:
