@@ -390,3 +390,25 @@ from feat {TEST} order by read_id, pos limit 1000""",
 def compact_log(view):
     scored = scores.by_predictor(test_part(scores.features(view), view))
     return sinks.compact_lines(sinks.first_rows(scored, 1000, ["file", "read_id", "pos"])).select("read_id", "pos", "line")
+
+
+def small_network(view: Sequences, reads: int) -> DataFrame:
+    """Positions of the first test reads, scored by a small network with seeded parameters."""
+    from qualweave.plans import infer, network, packing
+
+    ensure_workers(view.reads.sparkSession)
+    config = network.Config(d_model=32, heads=2, layers=2, feedforward=48, context=16)
+    ranges = split.bounds(view.reads, "test", max_reads=reads)
+    return infer.score(packing.packed(view, described(view), config, ranges), config, network.create(config, 3))
+
+
+@on(("events",), "network_bits", None)
+def network_bits(view):
+    """The contract limits this query to a slice; tests compare the network with dense attention and finite differences."""
+    return rounded_metrics(metrics.compression(small_network(view, 20)))
+
+
+@on(("events",), "network_samples", None)
+def network_samples(view):
+    reads = split.within(view.reads, split.bounds(view.reads, "test", max_reads=5))
+    return sinks.sample_rows(small_network(view, 5), reads)
