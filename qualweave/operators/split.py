@@ -47,6 +47,15 @@ def read_range(positions: DataFrame, starts: DataFrame, start: int, stop: int) -
     return positions.where(chosen).join(some.join(F.broadcast(base), "file"), ["file", "read_id"]).withColumn("row_idx", F.col("row_start") - F.col("base") + F.col("pos")).drop("row_start", "row_stop", "base")
 
 
+def with_length(positions: DataFrame, reads: DataFrame) -> DataFrame:
+    """positions and their read's length.
+
+    Both sides are dealt by read. A broadcast would take the exploded side for small, by
+    its file's size, and evaluate the length's expression again for each position.
+    """
+    return positions.join(reads.hint("merge"), ["file", "read_id"])
+
+
 def nonempty(reads: DataFrame) -> DataFrame:
     return reads.where("length > 0")
 

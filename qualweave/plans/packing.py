@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from qualweave.constants import CONTINUOUS
 from qualweave.functions import predictor, symbols
 from qualweave.operators import history, scores
+from qualweave.operators.split import with_length, within
 from qualweave.plans.network import Config, Read
 from qualweave.sources.views import Sequences
 
@@ -18,14 +19,12 @@ SCALARS = ("max_prob", "entropy", "expected_q", "rel_pos", "len_norm")
 
 def packed(view: Sequences, described: DataFrame, config: Config, ranges: DataFrame | None = None) -> DataFrame:
     """file, read_id, length, seq. Reads outside ranges leave before any feature is made."""
-    from qualweave.operators.split import within
-
     reads, positions = (within(x, ranges) if ranges is not None else x for x in (view.reads, view.positions))
     wide = described.withColumn("log_p0_r", F.transform(predictor.residual_log_probs(F.col("probs"), F.col("q_hat")), lambda x: x.cast("float")))
     df = scores.features(Sequences(reads, positions), wide).drop("probs", "freqs")
     df = history.tokens(history.tokens(history.previous(df), "q", config.q_ks, config.stride, config.q_vocab), "r", config.r_ks, config.stride, config.r_vocab)
     tokens = ["q_hat", "prev_q", "prev_r", *[f"qmer_{i}" for i in range(len(config.q_ks))], *[f"rmer_{i}" for i in range(len(config.r_ks))]]
-    df = df.join(reads, ["file", "read_id"]).withColumns({"rel_pos": symbols.relative_position(F.col("pos"), F.col("length")), "len_norm": symbols.length_norm(F.col("length"))})
+    df = with_length(df, reads).withColumns({"rel_pos": symbols.relative_position(F.col("pos"), F.col("length")), "len_norm": symbols.length_norm(F.col("length"))})
     row = F.struct(
         "pos",
         "observed",

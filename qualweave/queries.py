@@ -198,7 +198,7 @@ def residual_log_probs(view):
     "select read_id, pos, round(pos / greatest(length - 1, 1), 9) as rel_pos, round(least(length, 10000) / 10000, 9) as len_norm from pos join reads using (file, read_id)",
 )
 def position_features(view):
-    df = view.positions.join(view.reads, ["file", "read_id"])
+    df = split.with_length(view.positions, view.reads)
     return df.select("read_id", "pos", r(symbols.relative_position(F.col("pos"), F.col("length")), 9).alias("rel_pos"), r(symbols.length_norm(F.col("length")), 9).alias("len_norm"))
 
 
@@ -208,7 +208,7 @@ def position_features(view):
     "select read_id, round(sum(pos / greatest(length - 1, 1)), 4) as rel_pos, round(max(least(length, 10000) / 10000), 9) as len_norm from pos join reads using (file, read_id) group by read_id",
 )
 def position_features_by_read(view):
-    df = view.positions.join(view.reads, ["file", "read_id"])
+    df = split.with_length(view.positions, view.reads)
     return df.groupBy("read_id").agg(r(F.sum(symbols.relative_position(F.col("pos"), F.col("length"))), 4).alias("rel_pos"), r(F.max(symbols.length_norm(F.col("length"))), 9).alias("len_norm"))
 
 
