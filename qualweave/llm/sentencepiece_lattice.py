@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
@@ -465,7 +466,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 
 
 def decode(encoded: DataFrame, pieces_col: str = "pieces", name: str = "text", model: str = MODEL) -> DataFrame:
-    """encoded and the text of its pieces."""
+    """encoded and the text of its pieces, in place of a column of that name."""
+    encoded = encoded.drop(name)
     shared = encoded.sparkSession.sparkContext.broadcast(load(model))
 
     def texts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,4 +477,4 @@ def decode(encoded: DataFrame, pieces_col: str = "pieces", name: str = "text", m
             column = pa.array([None if x is None else decoder(x) for x in lists], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-    return encoded.mapInArrow(texts, encoded.withColumn(name, F.lit("").cast("string")).schema)
+    return encoded.mapInArrow(texts, StructType([*encoded.schema.fields, StructField(name, StringType())]))

@@ -101,4 +101,5 @@ def test_encode_and_decode_rows(spark, vocabulary):
     again = sp.encode(docs(spark, data[:1] + data[-1:])).collect()
     assert {(r.doc_id, r.sample, tuple(r.pieces)) for r in again} == {(r.doc_id, r.sample, tuple(r.pieces)) for r in got if r.doc_id in (1, 5)}
     assert sp.encode(docs(spark, [])).count() == 0
-    assert sp.decode(df.limit(1).withColumn("pieces", F.lit(None).cast("array<int>")).drop("text")).first().text is None
+    assert sp.decode(df.limit(1).withColumn("pieces", F.lit(None).cast("array<int>"))).first().text is None
+    assert sp.decode(sp.decode(df.where("doc_id = 5"))).columns[-1] == "text"
