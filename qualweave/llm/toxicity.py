@@ -17,6 +17,7 @@ empty table gives an empty result; other columns are carried by drop_toxic.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,7 +81,16 @@ def _values(model_ratio: np.ndarray, f: np.ndarray) -> np.ndarray:
     return v / max(float(np.sqrt(v @ v)), 1e-9) ** 0.5 if len(v) else v
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
+def _packed(f: np.ndarray) -> bytes:
+    """Sorted buckets as compressed gaps: about a byte each."""
+    return zlib.compress(np.diff(f, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(b), "<i4"))
+
+
+def fit(features: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     """Ratios from document counts, then mini-batch Adam on the logistic loss; the classes weigh alike."""
     toxic = labels == 1
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
@@ -88,7 +98,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0, fitted=False)
     counts = np.ones((2, BUCKETS))
     for f, y in zip(features, toxic, strict=True):
-        counts[int(y), f] += 1
+        counts[int(y), _unpacked(f)] += 1
     ratio = (np.log(counts[1] / (n1 + 2)) - np.log(counts[0] / (n0 + 2))).astype(np.float32)
     class_weight = np.where(toxic, n0 / n1, 1.0) / 2
     rng = np.random.default_rng(seed)
@@ -98,9 +108,10 @@ def fit(features: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         order = rng.permutation(len(features))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
-            at = np.concatenate([features[i] for i in rows])
-            x = np.concatenate([_values(ratio, features[i]) for i in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(features[i]) for i in rows])
+            own = [_unpacked(features[i]) for i in rows]
+            at = np.concatenate(own)
+            x = np.concatenate([_values(ratio, f) for f in own])
+            owner = np.repeat(np.arange(len(rows)), [len(f) for f in own])
             z = np.bincount(owner, x * w[at], len(rows)) + w[-1]
             error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - toxic[rows]) * class_weight[rows] / len(rows)
             g = np.bincount(at, x * error[owner], BUCKETS + 1) + DECAY * w
@@ -123,7 +134,7 @@ def score(model: Model, features: Features, text: str | None) -> float:
 def _featurize(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     features = Features()
     for pdf in source:
-        yield pd.DataFrame({"place": pdf["place"], "toxic": pdf["toxic"], "f": [features(t) for t in pdf["text"]]})
+        yield pd.DataFrame({"place": pdf["place"], "toxic": pdf["toxic"], "f": [_packed(features(t)) for t in pdf["text"]]})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, usable=None) -> Model:
@@ -136,13 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     listed = spark.createDataFrame(chosen.toPandas(), chosen.schema)
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(listed), id_col).select(F.xxhash64(id_col, "text").alias("place"), "toxic", "text")
-    sample = rows.mapInPandas(_featurize, "place long, toxic int, f array<int>").toArrow()
-    features = [f.values.to_numpy(zero_copy_only=False)[f.offsets[0].as_py() :] for f in sample.column("f").chunks]
-    edges = [f.offsets.to_numpy() - f.offsets[0].as_py() for f in sample.column("f").chunks]
-    parts = [v[a:b] for v, e in zip(features, edges, strict=True) for a, b in zip(e[:-1], e[1:], strict=True)]
-    order = np.argsort(sample.column("place").to_numpy(), kind="stable")
-    labels = sample.column("toxic").to_numpy()[order]
-    return fit([parts[i] for i in order], labels)
+    # Packed features stay packed on the driver but for one batch at a time.
+    sample = rows.mapInPandas(_featurize, "place long, toxic int, f binary").collect()
+    sample.sort(key=lambda r: r.place)
+    return fit([bytes(r.f) for r in sample], np.array([r.toxic for r in sample], np.int64))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = SCORE) -> DataFrame:
