@@ -41,8 +41,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 20_240_601
-#: Words kept built between texts, by each task.
-KEPT_WORDS = 300_000
+#: Edges of words kept built between texts, by each worker: 24 bytes each, up to twice that while arrays grow.
+KEPT_EDGES = 3_000_000
 #: Longer words are built character by character.
 LONG_WORD = 48
 UNIT = re.compile(r" *[^ \t\n\x0b\x0c]+| +|[\t\n\x0b\x0c]")
@@ -120,7 +120,6 @@ class Lattices:
         self.first = np.zeros(1024, np.int64)
         self.cum = np.zeros(4096)
         self.logp = np.zeros(4096)
-        self.rest = np.zeros(4096)
         self.to = np.zeros(4096, np.int32)
         self.piece = np.zeros(4096, np.int32)
 
@@ -180,7 +179,8 @@ class Lattices:
         c = code[bare]
         weight[spelt:] = v.spelt * (1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF))
         # Backward sums, the last characters of all words first; edges of a character are together, long ones first.
-        order = np.lexsort((-to, source, left[source]))
+        span = LONG_WORD + 1  # of left and of to - source
+        order = np.argsort((left[source] * (n + 1) + source) * span + span - 1 - (to - source))
         source, to, piece, weight = source[order], to[order], piece[order], weight[order]
         inside = to < end[source]
         beta = np.zeros(n + 1)
@@ -213,7 +213,7 @@ class Lattices:
         nodes, total = self.nodes + n, self.edges + len(source)
         self._room("first", nodes + 1)[self.nodes : nodes] = self.edges + start
         self.first[nodes] = total
-        for name, values in (("cum", cum), ("logp", w), ("rest", _rest(w)), ("to", np.where(inside, to + self.nodes, -1)), ("piece", piece)):
+        for name, values in (("cum", cum), ("logp", w), ("to", np.where(inside, to + self.nodes, -1)), ("piece", piece)):
             self._room(name, total)[self.edges : total] = values
         self.root.update(zip(units, (self.nodes + base).tolist(), strict=True))
         self.nodes, self.edges = nodes, total
@@ -257,7 +257,7 @@ class Lattices:
         if nodes > self.nodes:
             self._room("first", nodes + 1)[self.nodes : nodes] = first
             self.first[nodes] = edges
-            for name, values in (("cum", cum), ("logp", lps), ("rest", _rest(np.array(lps))), ("to", to), ("piece", piece)):
+            for name, values in (("cum", cum), ("logp", lps), ("to", to), ("piece", piece)):
                 self._room(name, edges)[self.edges : edges] = values
             self.nodes, self.edges = nodes, edges
 
@@ -334,7 +334,7 @@ def top_k(lattices: Lattices, roots: np.ndarray, key: int, k: int) -> list[Sampl
         upto = np.cumsum(lp)
         before = upto - lp
         left = np.full(len(edges), -np.inf)
-        left[since:] = _truncated(before[since:] + lattices.rest[edges[since:]], value, 1.0 - rng.random(len(edges) - since))
+        left[since:] = _truncated(before[since:] + _rest(lp[since:]), value, 1.0 - rng.random(len(edges) - since))
         samples.append(Sample(edges, word, float(upto[-1]), value))
         fringe.append((left, before))
 
@@ -406,7 +406,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None], keys: list[int], k: int) -> Iterator[list[tuple[np.ndarray, Sample]]]:
         """The samples of each text, best first."""
-        if len(self.lattices.root) > KEPT_WORDS:
+        if self.lattices.edges > KEPT_EDGES:
             self.lattices.reset()
         units = [(UNIT.findall(f" {t}") if self.v.by_word else [f" {t}"]) if t else [] for t in texts]
         fresh = set().union(*units).difference(self.lattices.root)
