@@ -68,6 +68,18 @@ def test_passages_against_all_windows(spark, small):
     assert expected <= {r.doc_id for r in found} | {r.ref_id for r in found}
 
 
+def test_passage_whose_parts_occur_earlier_in_other_documents(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    data = []
+    for k in range(10):
+        whole = text(60)
+        parts = [(3, text(20) + whole[:40]), (5, whole[20:] + text(20)), (20, text(10) + whole + text(10)), (30, whole + text(30))]
+        data += [(100 * k + i, " ".join(w)) for i, w in parts]
+    got = {(r.doc_id, r.ref_id, r.n_words) for r in substring_chain.passages(docs(spark, data)).collect()}
+    assert got == {(100 * k + 30, 100 * k + 20, 60) for k in range(10)}
+
+
 def test_hot_passage_has_one_report_a_document(spark):
     rng = random.Random(1)
     passage = " ".join(f"p{k}" for k in range(70))
