@@ -392,8 +392,8 @@ def compact_log(view):
     return sinks.compact_lines(sinks.first_rows(scored, 1000, ["file", "read_id", "pos"])).select("read_id", "pos", "line")
 
 
-def small_network(view: Sequences, reads: int) -> DataFrame:
-    """Positions of the first test reads, scored by a small network with seeded parameters."""
+def small_network(view: Sequences, reads: int | None = None) -> DataFrame:
+    """Positions of the test reads, or of the first ones, scored by a small network with seeded parameters."""
     from qualweave.plans import infer, network, packing
 
     ensure_workers(view.reads.sparkSession)
@@ -404,8 +404,8 @@ def small_network(view: Sequences, reads: int) -> DataFrame:
 
 @on(("events",), "network_bits", None)
 def network_bits(view):
-    """The contract limits this query to a slice; tests compare the network with dense attention and finite differences."""
-    return rounded_metrics(metrics.compression(small_network(view, 20)))
+    """All test reads; tests compare the network with dense attention and finite differences."""
+    return rounded_metrics(metrics.compression(small_network(view)))
 
 
 @on(("events",), "network_samples", None)

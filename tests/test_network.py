@@ -91,3 +91,13 @@ def test_lost_mer_settings_mean_none(tmp_path):
     del info["config"]["q_ks"], info["config"]["r_ks"]
     (tmp_path / "config.json").write_text(json.dumps(info))
     assert network.load(tmp_path)[0].q_ks == () and network.load(tmp_path)[0].r_ks == ()
+
+
+def test_network_bits_scores_all_test_reads(spark):
+    from qualweave import queries
+
+    view = VIEWS["events"](spark, "/root/testdata/sf0.01")
+    reads = split.within(view.reads, split.bounds(view.reads, "test")).where("length > 0")
+    assert reads.count() > 20
+    got = queries.network_bits(view).collect()
+    assert sum(r.total_symbols for r in got) == reads.agg({"length": "sum"}).first()[0]
