@@ -8,8 +8,10 @@ Thresholds nest: a larger budget takes a superset. Budgets over a source's size
 take every document once and the rest of the budget by threshold a second time.
 
 Defined cases: null text has size 0; null source is a source of its own, the last;
-rows that repeat an id are taken together; a source without words takes none; an
-empty table gives an empty result; other columns are ignored or carried along.
+rows that repeat an id are taken together; a source without words takes none, and
+a text without words isn't in the mix unless its hash lies under the threshold; a text
+is counted whole, however long; an empty table gives an empty result; other columns
+are ignored by mix and carried along by mixed, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualweave.llm.graphs import free
 from qualweave.llm.graphs import sized as few
 from qualweave.session import cut
 
@@ -40,9 +43,12 @@ def hash_of(key: Column) -> Column:
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """source, source_size, target. sources: source, source_size, one row each; a small table, as wide as the list of sources.
 
-    The water level L solves sum(min(most * size, L * weight)) = share * total. Going
-    through the sources by the level at which each fills up, all before the first
-    that isn't full are full, and L is what they leave over the weights they leave.
+    The water level L solves sum(min(most * size, L * weight)) = share * total. Sources
+    fill up in the order of cap / weight. Taking the first k of them as full leaves a
+    level for the rest; while k grows, the first level under which no other source
+    is over its cap is the right one, and later ones are lower, so it's the largest
+    of the levels that fit. Targets are a budget times a weight over a weight, each
+    exact, so that any engine rounds them alike.
     """
     n = len(weights)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -51,9 +57,11 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     everything = Window.partitionBy(F.lit(1))
     filled = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     w = w.withColumn("budget", F.least(share * F.sum("source_size").over(everything), F.sum("cap").over(everything)))
-    w = w.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0))))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
-    return w.withColumn("final", level).select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
+    w = w.withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))).withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0)))
+    fits = F.col("left") * F.col("weight") <= F.col("cap") * F.col("open")
+    water = F.max(F.when(fits, F.struct((F.col("left") / F.col("open")).alias("level"), "left", "open"))).over(everything)
+    poured = F.col("water.left") * F.col("weight") / F.col("water.open")
+    return w.withColumn("water", water).select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", poured)).alias("target"))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -122,7 +130,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself: rows of docs, all columns, each as many times as it is taken. Texts aren't shuffled while the sources are few."""
     light = cut(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h")))
-    plan = few(_plan(light, weights, share, most).select("b_source", "whole", "threshold").withColumnsRenamed({c: f"__{c}" for c in ("b_source", "whole", "threshold")}))
-    times = F.least(F.col("__whole") + (hash_of(F.col(id_col)) <= F.col("__threshold")).cast("long"), F.lit(most))
-    placed = docs.join(plan, _same(F.col(source_col), F.col("__b_source"))).withColumn("__times", times).where("__times > 0")
-    return placed.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    source, whole, threshold, time = free(docs, "mix_source", "mix_whole", "mix_threshold", "mix_time")
+    plan = few(_plan(light, weights, share, most).select(F.col("b_source").alias(source), F.col("whole").alias(whole), F.col("threshold").alias(threshold)))
+    times = F.least(F.col(whole) + (hash_of(F.col(id_col)) <= F.col(threshold)).cast("long"), F.lit(most))
+    placed = docs.join(plan, _same(F.col(source_col), F.col(source))).where(times > 0)
+    return placed.withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)

@@ -55,27 +55,30 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+# Targets by rounds, as the contract tells it: the budget of the sources that aren't full is shared by
+# weight; those that would be over twice their size are full from then on; until none is.
 OP8_SQL = r"""
-with d as (
+with recursive d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
          cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
   from documents
 ), s as (
   select source, cast(sum(size) as bigint) as source_size from d group by source
 ), w as (
-  select *, cast(2 * source_size as double) as cap,
-         [3.0::double, 1.0::double, 2.0::double][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)] as weight
+  select *, [3.0::double, 1.0::double, 2.0::double][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)] as weight
   from s
-), f as (
-  select *, least(1.5::double * sum(source_size) over (), sum(cap) over ()) as budget,
-         coalesce(sum(cap) over o, 0) as full_cap, coalesce(sum(weight) over o, 0) as full_weight, sum(weight) over () as all_weight
-  from w window o as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)
-), l as (
-  select *, (budget - full_cap) / (all_weight - full_weight) as level from f
-), t as (
-  select source, source_size, cap, weight, min(case when level * weight <= cap then level end) over () as final from l
+), r as (
+  select 0 as round, source, source_size, weight, false as is_full, 1.5::double * sum(source_size) over () as pool, sum(weight) over () as weights, true as goes_on
+  from w
+  union all
+  select round + 1, source, source_size, weight, now_full,
+         pool - coalesce(sum(case when now_full and not is_full then 2.0 * source_size end) over (), 0),
+         weights - coalesce(sum(case when now_full and not is_full then weight end) over (), 0),
+         bool_or(now_full and not is_full) over ()
+  from (select *, is_full or pool * weight > 2.0 * source_size * weights as now_full from r where goes_on)
 ), g as (
-  select source, source_size, case when final is null then cap else least(cap, final * weight) end as target from t
+  select source, source_size, case when is_full then 2.0 * source_size else pool * weight / weights end as target
+  from r where round = (select max(round) from r)
 ), b as (
   select *, cast(floor(target - whole * source_size) as bigint) as budget
   from (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as whole from g)
@@ -94,6 +97,7 @@ select doc_id, size, source_size, target,
 from x
 """
 
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(table(spark, sf_dir, "pages"))
 

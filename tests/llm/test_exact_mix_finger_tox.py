@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -56,7 +57,7 @@ def test_open_addressing_compares_contents():
 
 
 def brute_mix(data):
-    size = lambda t: len((t or "").replace("\x0b", " ").split()) if (t or "").isascii() else 0
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     by = {}
     for i, t, s in data:
         by.setdefault(s, []).append((int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16), size(t)))
@@ -95,6 +96,39 @@ def test_mix_targets_and_limits(spark):
     assert rows(mixing.mix(docs(spark, data).repartition(5))) == rows(mixing.mix(docs(spark, data)))
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mix_of_real_tables_reaches_its_targets(spark, sf):
+    d = table(spark, f"/root/testdata/{sf}", "documents")
+    data = [(r.doc_id, r.text, r.source) for r in d.select("doc_id", "text", "source").collect()]
+    total, target = brute_mix(data)
+    assert sum(target.values()) == pytest.approx(1.5 * sum(total.values()))
+    taken, largest, source = dict.fromkeys(total, 0), dict.fromkeys(total, 0), {i: s for i, _, s in data}
+    for r in mixing.mix(d).collect():
+        s = source[r.doc_id]
+        assert r.source_size == total[s] and r.target == pytest.approx(target[s]) and 0 <= r.target <= 2 * total[s]
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[s], largest[s] = taken[s] + r.taken, max(largest[s], r.size)
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in total)
+
+
+def test_mixed_repeats_rows_and_keeps_columns(spark):
+    data = [(i, "w " * (i % 17), f"s{i % 4}") for i in range(200)] + [(500, None, None), (501, "a b", None), (1, "w ", "s1")]
+    df = docs(spark, data).withColumns({c: F.lit("x") for c in ("__times", "__whole", "mix_time", "mix_source", "mix_Whole")})
+    times = {}
+    for r in mixing.mix(df).collect():
+        if r.size:
+            times[r.doc_id] = r.taken // r.size
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    seen = [r for r in got.collect() if r.text and r.text.strip()]
+    assert seen and all(r.mix_time == r.mix_source == r["__times"] == "x" for r in seen)
+    copies = dict.fromkeys(times, 0)
+    for r in seen:
+        copies[r.doc_id] += 1
+    assert copies == {i: n * (2 if i == 1 else 1) for i, n in times.items()}
+    assert mixing.mixed(docs(spark, [])).count() == 0
+
+
 def test_mix_empty(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
