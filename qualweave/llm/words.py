@@ -95,6 +95,19 @@ def window_hashes(h: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
     return mix(acc[at]), at
 
 
+def long_hashes(h: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """window_hashes for many words, by sums of powers: the cost doesn't depend on size."""
+    n = len(h)
+    if n < size:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    power, inverse = _power_tables(n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum(h * power[:n], out=total[1:])
+    left = np.repeat(offsets[1:], np.diff(offsets))[: n - size + 1]
+    at = np.flatnonzero(np.arange(n - size + 1) + size <= left)
+    return mix((total[at + size] - total[at]) * inverse[at] + U(size)), at
+
+
 def shingles(h: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes and the text index of each; a text of 1 to size-1 words has one shingle of all its words."""
     s, at = window_hashes(h, offsets, size)

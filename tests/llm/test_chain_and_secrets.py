@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from helpers import docs
+from pyspark.sql import functions as F
 from qualweave.llm import secret_forest, substring_chain
 from qualweave.session import table
 
@@ -114,3 +115,49 @@ def test_scan_odd_rows(spark):
     got = {r.doc_id: r for r in secret_forest.scan(docs(spark, data)).collect()}
     assert set(got) == {None, 4, 5, 6} and got[None].secret and got[4].secret and not got[6].secret
     assert secret_forest.scan(docs(spark, [])).count() == 0
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages of 120 words with a share of the words replaced, each in a pair of documents of its own."""
+    rng = random.Random(12)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    data, pairs = [], {}
+    for k, identity in enumerate((0.95, 0.9, 0.85)):
+        for i in range(60):
+            whole, at = text(120), 1000 * k + 2 * i
+            edited = list(whole)
+            for j in rng.sample(range(120), round(120 * (1 - identity))):
+                edited[j] = text(1)[0]
+            data += [(at, " ".join(text(40) + whole + text(9))), (at + 1, " ".join(text(5) + edited + text(70)))]
+            pairs[at + 1] = (at, identity)
+    got = {(r.doc_id, r.ref_id) for r in substring_chain.passages(docs(spark, data)).collect()}
+    assert got <= {(d, r) for d, (r, _) in pairs.items()}
+    recall = {i: sum((d, r) in got for d, (r, of) in pairs.items() if of == i) / 60 for i in (0.95, 0.9, 0.85)}
+    assert recall[0.95] == 1.0 and recall[0.9] >= 0.95 and recall[0.85] >= 0.8, recall
+
+
+def test_periodic_long_and_repeated_rows(spark):
+    rng = random.Random(13)
+    text = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    line, long = text(12), text(30_000)
+    data = [(1, text(30) + line * 40), (2, line * 30 + text(9)), (3, long), (4, text(70) + long[10_000:10_060] + text(40)), (5, ["a", "b"] * 5_000), (6, ["a", "b"] * 200 + text(60))]
+    data = [(i, " ".join(t)) for i, t in data] + [(4, "short"), (7, None), (None, " ".join(long))]
+    df = docs(spark, data).withColumns({"passage_doc": F.lit(1), "passage_Spans": F.lit("x"), "__doc": F.lit(2), "__spans": F.lit(3)})
+    found = substring_chain.passages(df)
+    got = {(r.doc_id, r.ref_id): r.n_words for r in found.collect()}
+    assert set(got) == {(2, 1), (4, 3), (6, 5)} and got[4, 3] == 60 and got[2, 1] == 360
+    cut = substring_chain.without_passages(df, found)
+    assert cut.columns == df.columns
+    kept = {(r.doc_id, r.text is None): r for r in cut.collect()}
+    assert len(kept[2, False].text.split()) == 9 and kept[3, False].text == data[2][1] and kept[7, True]["__spans"] == 3
+
+
+def test_frequent_and_rare_seeds_give_the_same_passages(spark, monkeypatch):
+    rng = random.Random(14)
+    text = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    hot = text(70)
+    df = docs(spark, [(i, " ".join(text(20) + (hot if i % 3 == 0 else text(60)) + text(20))) for i in range(300)]).repartition(6)
+    key = lambda: sorted(map(tuple, substring_chain.passages(df).collect()))
+    told = key()
+    monkeypatch.setattr(substring_chain, "COMMON", 2.0)
+    assert key() == told and {(r[0], r[1]) for r in told} == {(i, 0) for i in range(3, 300, 3)}
