@@ -15,14 +15,16 @@ one per word, and distinct words are built once.
 
 Models of rank-scored pieces (BPE) have no probabilities; a piece of rank r then
 weighs 1 / (r + 2.7), as word frequencies do. A character without a piece is spelt
-in byte pieces. Random numbers come from a generator that the row's key seeds; nothing
-depends on partitions or batches.
+in byte pieces. Random numbers are hashes of the row's key and of the place that they
+are drawn for, and all sums stay within a text or a node; nothing depends on
+partitions or batches. Texts of a batch walk together.
 
 Defined cases: null text is empty; an empty text has one segmentation, without
 pieces; a text with fewer than K segmentations gives all it has, with inclusion
 score 0 (certain) for each; rows that repeat a key and text give equal samples; a
-null key is a key like any other; an empty table gives an empty result; other
-columns are ignored. Decoding returns the very text; null pieces decode to null.
+null key is a key like any other; a text is encoded whole, however long; an empty
+table gives an empty result; other columns are ignored, whatever their names. Decoding
+returns the very text; null pieces decode to null.
 """
 
 from __future__ import annotations
@@ -38,11 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from qualweave.llm import words
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 20_240_601
-#: Edges of words kept built between texts, by each worker: 24 bytes each, up to twice that while arrays grow.
-KEPT_EDGES = 3_000_000
+#: Edges of words kept built between texts, by each task: 24 bytes each, up to twice that while arrays grow.
+KEPT_EDGES = 2_000_000
+#: Texts of so many characters together are encoded at once; a longer one is encoded alone.
+BATCH_CHARS = 400_000
 #: Longer words are built character by character.
 LONG_WORD = 48
 UNIT = re.compile(r" *[^ \t\n\x0b\x0c]+| +|[\t\n\x0b\x0c]")
@@ -108,7 +114,7 @@ def _rest(log_prob: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Lattices of distinct words in flat arrays: nodes with edges, likeliest first, cumulative probabilities."""
+    """Lattices of distinct words in flat arrays: nodes with their edges and cumulative probabilities; the order of a node's edges follows from its word."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -206,9 +212,11 @@ class Lattices:
         count = np.diff(np.concatenate([start, [len(source)]]))
         only = start[count == 1]
         w[only] = 0.0
-        p = np.exp(w)
-        cum = np.cumsum(p)
-        cum -= np.repeat(cum[start] - p[start], count)
+        # Summed within each node, so that no bit depends on the other words.
+        cum = np.exp(w)
+        for k in range(1, int(count.max())):
+            at = start[count > k] + k
+            cum[at] += cum[at - 1]
         cum[start + count - 1] = 2.0
         nodes, total = self.nodes + n, self.edges + len(source)
         self._room("first", nodes + 1)[self.nodes : nodes] = self.edges + start
@@ -261,15 +269,18 @@ class Lattices:
                 self._room(name, edges)[self.edges : edges] = values
             self.nodes, self.edges = nodes, edges
 
-    def walk(self, start: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of one random path through each lattice from its start node (-1: nothing left), and how many each has."""
+    def walk(self, start: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of one random path through each lattice from its start node (-1: nothing left), and how many each has.
+
+        The steps of a lattice draw the numbers that its own seed gives, whatever is walked beside it.
+        """
         n = len(start)
         active = np.flatnonzero(start >= 0)
-        node, taken, step = start[active], [], 0
+        node, own, taken, step = start[active], seed[active], [], 0
         first, cum, to = self.first, self.cum, self.to
         counts = np.zeros(n, np.int64)
         while len(active) > 12:
-            u = rng.random(len(active))
+            u = words.unit(words.mix(own + U(step)))
             e = first[node]
             wait = np.flatnonzero(u > cum[e])
             while len(wait):
@@ -279,12 +290,13 @@ class Lattices:
             counts[active] += 1
             node = to[e]
             alive = np.flatnonzero(node >= 0)
-            active, node, step = active[alive], node[alive], step + 1
+            active, node, own, step = active[alive], node[alive], own[alive], step + 1
         tails = []
-        for a, at in zip(active.tolist(), node.tolist(), strict=True):
+        for a, at, s in zip(active.tolist(), node.tolist(), own, strict=True):
             out: list[int] = []
             while at >= 0:
-                for u in rng.random(8 if len(out) < 64 else 4096).tolist():
+                k = step + len(out)
+                for u in words.unit(words.mix(s + np.arange(k, k + (8 if len(out) < 64 else 4096), dtype=U))).tolist():
                     e = int(first[at])
                     while u > cum[e]:
                         e += 1
@@ -305,107 +317,146 @@ class Lattices:
 
 @dataclass
 class Sample:
+    """edges and the word of each; before: log-mass in front of each level; left: best perturbed value of what its level leaves."""
+
     edges: np.ndarray
     word: np.ndarray
     log_prob: float
     perturbed: float
+    before: np.ndarray
+    left: np.ndarray
     log_inclusion: float = 0.0
 
 
-def _truncated(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+def _truncated(mass: np.ndarray, top: np.ndarray | float, u: np.ndarray) -> np.ndarray:
     """Gumbel variables of these log masses, each at most top."""
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(mass - top) - np.log(u)))
 
 
-def top_k(lattices: Lattices, roots: np.ndarray, key: int, k: int) -> list[Sample]:
-    """The k best segmentations under Gumbel noise, best first; fewer if there are no more.
+#: Streams of random numbers of one key: walks, levels, and single draws of each sample.
+WALK, LEVEL, SINGLE = 0, 1, 2
+
+
+def _stream(key: np.ndarray, kind: int, sample: int) -> np.ndarray:
+    return words.mix(key + U((SEED + 3 * sample + kind) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
-    All random numbers come from one Philox generator with the row's key, drawn in an order that the text alone decides.
+
+def top_k(lattices: Lattices, texts: list[np.ndarray], keys: np.ndarray, k: int) -> list[list[Sample]]:
+    """Of each text (roots of its words, one at least), the k best segmentations under Gumbel noise, best first; fewer if there are no more.
+
+    All texts take each step together. A random number is a hash of the text's key,
+    the sample, and the place that it is drawn for.
     """
-    n = len(roots)
-    rng = np.random.Generator(np.random.Philox(key=[key & (1 << 64) - 1, SEED]))
-    best = -math.log(-math.log(1.0 - rng.random()))
-    path, counts = lattices.walk(roots, rng)
-    samples, fringe = [], []  # fringe: of each sample, the best values left at its levels, the masses before the levels
-
-    def admit(edges: np.ndarray, word: np.ndarray, value: float, since: int) -> None:
-        lp = lattices.logp[edges]
-        upto = np.cumsum(lp)
-        before = upto - lp
-        left = np.full(len(edges), -np.inf)
-        left[since:] = _truncated(before[since:] + _rest(lp[since:]), value, 1.0 - rng.random(len(edges) - since))
-        samples.append(Sample(edges, word, float(upto[-1]), value))
-        fringe.append((left, before))
-
-    admit(path, np.repeat(np.arange(n), counts), best, 0)
-    used: dict[tuple[int, int], list[int]] = {}
-    while True:
-        kappa, j = max((float(f[0].max()), -j) for j, f in enumerate(fringe))
-        if len(samples) == k or kappa == -math.inf:
+    out: list[list[Sample]] = [[] for _ in texts]
+    used: list[dict[tuple[int, int], list[int]]] = [{} for _ in texts]
+
+    def walked(some: list[int], starts: list[np.ndarray], froms: list[int], sample: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Edges of a path through the last words of some texts, from word froms on, and the word of each edge."""
+        n = np.array([len(s) for s in starts])
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) - np.repeat(ends - n - froms, n)
+        seed = words.mix(np.repeat(_stream(keys[some], WALK, sample), n) ^ words.mix(place.astype(U)))
+        path, counts = lattices.walk(np.concatenate(starts), seed)
+        word = np.repeat(place, counts)
+        cuts = np.cumsum(np.add.reduceat(counts, ends - n))[:-1]
+        return np.split(path, cuts), np.split(word, cuts)
+
+    def admit(some: list[int], edges: list[np.ndarray], word: list[np.ndarray], values: list[float], since: list[int], sample: int) -> None:
+        """Adds a sample to some texts; levels before since belong to its parent."""
+        lps = [lattices.logp[e] for e in edges]
+        uptos = [np.cumsum(lp) for lp in lps]
+        befores = [upto - lp for upto, lp in zip(uptos, lps, strict=True)]
+        n = np.array([len(e) - s for e, s in zip(edges, since, strict=True)])
+        mass = np.concatenate([b[s:] for b, s in zip(befores, since, strict=True)]) + _rest(np.concatenate([lp[s:] for lp, s in zip(lps, since, strict=True)]))
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        u = words.unit(words.mix(np.repeat(_stream(keys[some], LEVEL, sample), n) + place.astype(U)))
+        fresh = np.split(_truncated(mass, np.repeat(np.array(values), n), u), ends[:-1])
+        for t, e, w, upto, before, s, value, own in zip(some, edges, word, uptos, befores, since, values, fresh, strict=True):
+            left = np.full(len(e), -np.inf)
+            left[s:] = own
+            out[t].append(Sample(e, w, float(upto[-1]), value, before, left))
+
+    everyone = list(range(len(texts)))
+    if not everyone:
+        return out
+    root = -np.log(-np.log(words.unit(words.mix(_stream(keys, SINGLE, 0)))))
+    edges, word = walked(everyone, texts, [0] * len(texts), 0)
+    admit(everyone, edges, word, root.tolist(), [0] * len(texts), 0)
+    tops = [[float(found[0].left.max())] for found in out]
+    for sample in range(1, k):
+        draw = [words.unit(words.mix(_stream(keys, SINGLE, sample) + U(i))) for i in (1, 2)]
+        some, starts, froms, heads, values = [], [], [], [], []
+        for t in everyone:
+            top = max(tops[t])
+            if top == -math.inf:
+                continue
+            j = tops[t].index(top)
+            parent = out[t][j]
+            at = int(parent.left.argmax())
+            gone = used[t].setdefault((j, at), [int(parent.edges[at])])
+            # Edges of a node are stored together; find the node's run.
+            node = int(np.searchsorted(lattices.first[: lattices.nodes], gone[0], "right")) - 1
+            options = [e for e in range(int(lattices.first[node]), int(lattices.first[node + 1])) if e not in gone]
+            p = [math.exp(x) for x in lattices.logp[options].tolist()]
+            goal, i = float(draw[0][t]) * math.fsum(p), 0
+            while i < len(p) - 1 and goal > p[i]:
+                goal, i = goal - p[i], i + 1
+            gone.append(options[i])
+            others = math.fsum(p[:i] + p[i + 1 :])
+            mass = np.array([parent.before[at] + math.log(others) if others > 0 else -math.inf])
+            parent.left[at] = _truncated(mass, top, draw[1][t : t + 1])[0]
+            tops[t][j] = float(parent.left.max())
+            w = int(parent.word[at])
+            start = texts[t][w:].copy()
+            start[0] = lattices.to[options[i]]
+            some.append(t)
+            starts.append(start)
+            froms.append(w)
+            heads.append((parent, at, options[i]))
+            values.append(top)
+        if not some:
             break
-        j = -j
-        left, before = fringe[j]
-        at = int(left.argmax())
-        parent = samples[j]
-        gone = used.setdefault((j, at), [int(parent.edges[at])])
-        # Edges of a node are stored together; find the node's run.
-        node = int(np.searchsorted(lattices.first[: lattices.nodes], gone[0], "right")) - 1
-        options = [e for e in range(int(lattices.first[node]), int(lattices.first[node + 1])) if e not in gone]
-        p = np.exp(lattices.logp[options])
-        pick = options[min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), "right")), len(options) - 1)]
-        gone.append(pick)
-        others = [e for e in options if e != pick]
-        mass = before[at] + math.log(float(np.exp(lattices.logp[others]).sum())) if others else -math.inf
-        left[at] = _truncated(np.array([mass]), kappa, 1.0 - rng.random(1))[0]
-        w = int(parent.word[at])
-        start = roots.copy()
-        start[:w] = -1
-        start[w] = lattices.to[pick]
-        tail, tail_counts = lattices.walk(start, rng)
-        edges = np.concatenate([parent.edges[:at], [pick], tail])
-        word = np.concatenate([parent.word[: at + 1], np.repeat(np.arange(n), tail_counts)])
-        admit(edges, word, kappa, at + 1)
-    for s in samples:
-        over = s.log_prob - kappa
-        s.log_inclusion = 0.0 if kappa == -math.inf else (over if over < -30 else math.log(-math.expm1(-math.exp(min(over, 700.0)))))
-    return samples
+        tails, tail_words = walked(some, starts, froms, sample)
+        edges = [np.concatenate([parent.edges[:at], [pick], tail]) for (parent, at, pick), tail in zip(heads, tails, strict=True)]
+        word = [np.concatenate([parent.word[: at + 1], tail]) for (parent, at, _), tail in zip(heads, tail_words, strict=True)]
+        admit(some, edges, word, values, [at + 1 for _, at, _ in heads], sample)
+        for t in some:
+            tops[t].append(float(out[t][-1].left.max()))
+    for found, left in zip(out, tops, strict=True):
+        kappa = max(left)
+        for s in found:
+            over = s.log_prob - kappa
+            s.log_inclusion = 0.0 if kappa == -math.inf else (over if over < -30 else math.log(-math.expm1(-math.exp(min(over, 700.0)))))
+    return out
 
 
 class Encoder:
-    """Encodes runs of texts; one for each vocabulary in a worker, so that words stay built between tasks."""
-
-    _kept: dict[int, "Encoder"] = {}
+    """Encodes runs of texts; words stay built from one run of a task to the next."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v, self.lattices = vocabulary, Lattices(vocabulary)
-        self.ascii = np.array(vocabulary.bytes[:128], np.int64)
-
-    @classmethod
-    def of(cls, vocabulary: Vocabulary) -> "Encoder":
-        mark = hash((len(vocabulary.pieces), int(vocabulary.keys.sum()), int((vocabulary.keys * vocabulary.key_ids.astype(U)).sum())))
-        if mark not in cls._kept:
-            cls._kept = {mark: cls(vocabulary)}
-        return cls._kept[mark]
-
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        out = self.lattices.piece[edges].astype(np.int64)
-        n = len(self.v.pieces)
-        spelt = np.flatnonzero(out >= n)
-        if len(spelt):
-            code = out[spelt] - n
-            if (code < 128).all():
-                out[spelt] = self.ascii[code]
-            else:
-                parts, last = [], 0
-                for at, c in zip(spelt.tolist(), code.tolist(), strict=True):
-                    parts += [out[last:at], [self.v.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")]]
-                    last = at + 1
-                out = np.concatenate([*parts, out[last:]]).astype(np.int64)
-        return out.astype(np.int32)
-
-    def __call__(self, texts: list[str | None], keys: list[int], k: int) -> Iterator[list[tuple[np.ndarray, Sample]]]:
-        """The samples of each text, best first."""
+        self.bytes = np.array(vocabulary.bytes, np.int32)
+
+    def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of edges, and how many each edge has: one, or those of the bytes of a spelt character."""
+        out = self.lattices.piece[edges]
+        count = np.ones(len(out), np.int64)
+        spelt = np.flatnonzero(out >= len(self.v.pieces))
+        if not len(spelt):
+            return out, count
+        each = [chr(c).encode("utf-8", "surrogatepass") for c in (out[spelt] - len(self.v.pieces)).tolist()]
+        count[spelt] = [len(b) for b in each]
+        whole = np.repeat(out, count)
+        first = (np.cumsum(count) - count)[spelt]
+        n = count[spelt]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        whole[np.repeat(first, n) + place] = self.bytes[np.frombuffer(b"".join(each), np.uint8)]
+        return whole, count
+
+    def __call__(self, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple[np.ndarray, Sample]]]:
+        """The samples of each text, best first, with their piece ids."""
         if self.lattices.edges > KEPT_EDGES:
             self.lattices.reset()
         units = [(UNIT.findall(f" {t}") if self.v.by_word else [f" {t}"]) if t else [] for t in texts]
@@ -413,12 +464,18 @@ class Encoder:
         if fresh:
             self.lattices.build(sorted(fresh))
         root = self.lattices.root.__getitem__
-        for key, own in zip(keys, units, strict=True):
-            if not own:
-                nothing = np.zeros(0, np.int64)
-                yield [(nothing.astype(np.int32), Sample(nothing, nothing, 0.0, 0.0))]
-            else:
-                yield [(self.ids(s.edges), s) for s in top_k(self.lattices, np.fromiter(map(root, own), np.int64, len(own)), key, k)]
+        full = [i for i, own in enumerate(units) if own]
+        roots = [np.fromiter(map(root, units[i]), np.int64, len(units[i])) for i in full]
+        found = top_k(self.lattices, roots, np.array([keys[i] & (1 << 64) - 1 for i in full], U), k)
+        every = [s for samples in found for s in samples]
+        ids, count = self.ids(np.concatenate([s.edges for s in every])) if every else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        ends = np.cumsum([len(s.edges) for s in every])
+        pieces = iter(np.split(ids, np.concatenate([[0], np.cumsum(count)])[ends[:-1]]) if every else [])
+        nothing = np.zeros(0, np.int64)
+        out: list[list[tuple[np.ndarray, Sample]]] = [[(nothing.astype(np.int32), Sample(nothing, nothing, 0.0, 0.0, nothing, nothing))] for _ in texts]
+        for i, samples in zip(full, found, strict=True):
+            out[i] = [(next(pieces), s) for s in samples]
+        return out
 
 
 class Decoder:
@@ -432,37 +489,43 @@ class Decoder:
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL) -> DataFrame:
-    """Up to samples rows per row of docs: id, sample (from 1), pieces, n_pieces, log_prob, perturbed, log_inclusion, round_trip.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL, round_trip: bool = False) -> DataFrame:
+    """Up to samples rows per row of docs: id, sample (from 1), pieces, n_pieces, log_prob, perturbed, log_inclusion.
 
-    The vocabulary is read on the driver and shared (its size is the model's); round_trip
-    says whether decoding the pieces gave the text.
+    The vocabulary is read on the driver and shared (its size is the model's). round_trip
+    adds a column of that name: whether decoding the pieces gave the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
-    id_type = docs.schema[id_col].dataType
+    names = [id_col, "sample", "pieces", "n_pieces", "log_prob", "perturbed", "log_inclusion"]
+
+    def rows(encoder: Encoder, decoder: Decoder, ids: pa.Array, texts: list[str | None], keys: list[int]) -> pa.RecordBatch:
+        of, pieces, out, trips = [], [], [], []
+        for i, (text, found) in enumerate(zip(texts, encoder(texts, keys, samples), strict=True)):
+            for j, (p, s) in enumerate(found, 1):
+                of.append(i)
+                pieces.append(p)
+                out.append((j, s.log_prob, s.perturbed, s.log_inclusion))
+                if round_trip:
+                    trips.append(decoder(p.tolist()) == (text or ""))
+        lengths = [len(p) for p in pieces]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(pieces), pa.int32()))
+        sample, *numbers = zip(*out, strict=True)
+        columns = [ids.take(pa.array(of)), pa.array(sample, pa.int32()), lists, pa.array(lengths, pa.int32()), *(pa.array(c, pa.float64()) for c in numbers)]
+        return pa.RecordBatch.from_arrays([*columns, *([pa.array(trips, pa.bool_())] if round_trip else [])], names=[*names, *(["round_trip"] if round_trip else [])])
 
     def sampled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder.of(shared.value), Decoder(shared.value)
-        for whole in source:
-            for start in range(0, len(whole), 64):
-                batch = whole.slice(start, 64)
-                texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                rows, pieces, out = [], [], {c: [] for c in ("sample", "log_prob", "perturbed", "log_inclusion", "round_trip")}
-                for i, (text, found) in enumerate(zip(texts, encoder(texts, keys, samples), strict=True)):
-                    for j, (ids, s) in enumerate(found, 1):
-                        rows.append(i)
-                        pieces.append(ids)
-                        for c, x in zip(out, (j, s.log_prob, s.perturbed, s.log_inclusion, decoder(ids.tolist()) == (text or "")), strict=True):
-                            out[c].append(x)
-                lengths = [len(p) for p in pieces]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(pieces), pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(out["sample"], pa.int32()), lists, pa.array(lengths, pa.int32()), *(pa.array(out[c], pa.float64()) for c in ("log_prob", "perturbed", "log_inclusion")), pa.array(out["round_trip"], pa.bool_())],
-                    names=[id_col, "sample", "pieces", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"],
-                )
-
-    schema = f"`{id_col}` {id_type.simpleString()}, sample int, pieces array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
-    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(id_col))).mapInArrow(sampled, schema)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        for batch in source:
+            texts, keys, start = batch.column(1).to_pylist(), batch.column(2).to_pylist(), 0
+            while start < len(texts):
+                stop, chars = start, 0
+                while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= BATCH_CHARS):
+                    chars, stop = chars + len(texts[stop] or ""), stop + 1
+                yield rows(encoder, decoder, batch.column(0).slice(start, stop - start), texts[start:stop], keys[start:stop])
+                start = stop
+
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sample int, pieces array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double"
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(id_col))).mapInArrow(sampled, f"{schema}, round_trip boolean" if round_trip else schema)
 
 
 def decode(encoded: DataFrame, pieces_col: str = "pieces", name: str = "text", model: str = MODEL) -> DataFrame:

@@ -40,14 +40,14 @@ def test_samples_are_distinct_segmentations_with_their_probabilities(vocabulary,
     known = segmentations(vocabulary, f" {text}")
     encoder, decoder = sp.Encoder(vocabulary), sp.Decoder(vocabulary)
     for key in range(20):
-        got = next(encoder([text], [key], 6))
+        got = encoder([text], [key], 6)[0]
         ids = [tuple(i.tolist()) for i, _ in got]
         assert len(set(ids)) == len(ids) == min(6, len(known))
         assert all(abs(known[i] - s.log_prob) < 1e-9 for i, (_, s) in zip(ids, got, strict=True))
         keys = [s.perturbed for _, s in got]
         assert keys == sorted(keys, reverse=True) and all(s.log_inclusion <= 0 for _, s in got)
         assert all(decoder(i) == text for i in ids)
-        assert [tuple(i.tolist()) for i, _ in next(sp.Encoder(vocabulary)([text], [key], 6))] == ids
+        assert [tuple(i.tolist()) for i, _ in sp.Encoder(vocabulary)([text], [key], 6)[0]] == ids
 
 
 def test_frequencies_are_those_of_sampling_without_replacement(vocabulary):
@@ -57,7 +57,7 @@ def test_frequencies_are_those_of_sampling_without_replacement(vocabulary):
     encoder, n = sp.Encoder(vocabulary), 6000
     first, pairs = Counter(), Counter()
     for key in range(n):
-        ids = [tuple(i.tolist()) for i, _ in next(encoder([text], [key], 2))]
+        ids = [tuple(i.tolist()) for i, _ in encoder([text], [key], 2)[0]]
         first[ids[0]] += 1
         pairs[tuple(ids)] += 1
     for a in known:
@@ -71,7 +71,7 @@ def test_inclusion_scores_give_unbiased_sums(vocabulary):
     text = "other then"
     known = segmentations(vocabulary, f" {text}")
     encoder, n = sp.Encoder(vocabulary), 3000
-    sums = [sum(math.exp(s.log_prob - s.log_inclusion) for _, s in next(encoder([text], [key], 3))) for key in range(n)]
+    sums = [sum(math.exp(s.log_prob - s.log_inclusion) for _, s in encoder([text], [key], 3)[0]) for key in range(n)]
     assert len(known) > 20 and abs(np.mean(sums) - 1) < 5 * np.std(sums) / math.sqrt(n)
 
 
@@ -90,7 +90,7 @@ def test_long_words_match_short_ones(vocabulary):
 
 def test_encode_and_decode_rows(spark, vocabulary):
     data = [(1, "Hello  world\n a\tb ßñ é 漢字 \U0001f642 ▁x"), (2, None), (3, ""), (None, "a"), (None, "a"), (4, "y" * 20_000), (5, " lead and trail ")]
-    df = sp.encode(docs(spark, data).repartition(3))
+    df = sp.encode(docs(spark, data).repartition(3), round_trip=True)
     got = df.collect()
     assert all(r.round_trip for r in got)
     assert Counter(r.doc_id for r in got) == {1: 3, 2: 1, 3: 1, None: 4, 4: 3, 5: 3}
@@ -103,3 +103,12 @@ def test_encode_and_decode_rows(spark, vocabulary):
     assert sp.encode(docs(spark, [])).count() == 0
     assert sp.decode(df.limit(1).withColumn("pieces", F.lit(None).cast("array<int>"))).first().text is None
     assert sp.decode(sp.decode(df.where("doc_id = 5"))).columns[-1] == "text"
+
+
+def test_samples_do_not_depend_on_batches(vocabulary):
+    texts = ["the cat sat", "on \u6f22 the mat", "y" * 300, "", "and thn wrote it then", "a"] + [f"word{i} then other" for i in range(30)]
+    keys = list(range(len(texts)))
+    got = lambda ts, ks: [[(tuple(p.tolist()), s.log_prob, s.perturbed, s.log_inclusion) for p, s in found] for found in sp.Encoder(vocabulary)(ts, ks, 3)]
+    whole = got(texts, keys)
+    assert whole == [got([t], [k])[0] for t, k in zip(texts, keys, strict=True)]
+    assert whole[::-1] == got(texts[::-1], keys[::-1])
