@@ -27,12 +27,21 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def one_text_each(base: DataFrame, key: str) -> DataFrame:
+    """base (key, text) with one text for each key, the longest; ties by content. Texts of keys that don't repeat aren't shuffled."""
+    twice = cut(base.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    if twice.isEmpty():
+        return base
+    texts = base.join(sized(twice), key, "left_semi").groupBy(key).agg(F.max(F.struct(F.char_length("text").alias("n"), "text")).alias("t")).select(key, F.col("t.text").alias("text"))
+    return base.join(sized(twice), key, "left_anti").unionByName(cut(texts))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest id of each vertex's component. edges: a, b, without order.
 
-    Each round a vertex takes the smallest label next to it; one checkpoint and one
-    look at the changes a round. Links found by comparing with leaders are shallow,
-    so rounds are few.
+    Each round a vertex takes the smallest label next to it, and then the label of that
+    label, so a chain of n vertices takes about log2(n) rounds; each has one checkpoint
+    of a row a vertex.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut(both)
@@ -41,6 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Only vertices that moved can move others.
         moved = labels.where("moved").select(F.col("id").alias("b"), "label")
         near = both.join(moved, "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        labels = cut(labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), (F.coalesce("m", "label") < F.col("label")).alias("moved")))
+        taken = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        of = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        jumped = taken.join(of, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
+        labels = cut(jumped.select("id", "label", (F.col("label") < F.col("was")).alias("moved")))
         if labels.where("moved").isEmpty():
             return labels.select("id", "label")
