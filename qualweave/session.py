@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +32,19 @@ def ensure_workers(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    # Workers live on between stages: large arrays go back to the system as soon as they are freed.
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", 1 << 20), ("MALLOC_TRIM_THRESHOLD_", 8 << 20), ("MALLOC_ARENA_MAX", 2)):
+        env.setdefault(name, str(value))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
+    """The shared folder of the cluster; a folder of our own only where none is set and all tasks run on this machine."""
     sc = spark.sparkContext
     jsc = sc._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(where or "/tmp/checkpoints/qualweave")
     return jsc.getCheckpointDir().get()
 
