@@ -1,36 +1,47 @@
-"""Main text of HTML pages, by structure and by differencing pages with near URLs.
+"""Main text of HTML pages, by differencing pages with near URLs, checked by structure.
 
-A page is cut into blocks: text between block-level tags, character references
-decoded, white space collapsed. Each block has a role by the elements around it:
-boilerplate (navigation, headers, footers, asides, forms, adverts, notices,
-comments of readers), content (inside article or main), or open. Open blocks are
-decided by the method: pages are ordered by host and URL path, each is paired with
-the neighbour whose path shares the longer prefix, the lines of both are aligned by
-longest common subsequence, and open lines that both share are deleted.
+A page is cut into lines: text between block-level tags, character references decoded,
+white space collapsed. Pages are ordered by host, URL path and id. Each is paired with a
+page of other content beside it in that order, the one whose path shares the longer
+prefix (of equals the one before it); the lines of both are aligned by longest common
+subsequence, and lines that both have are deleted.
 
-Content blocks aren't deleted by differencing: articles repeat lines of other
-articles, and those belong to the text.
+Structure has a veto on both sides. Lines inside article or main stay though another
+page has them, as articles repeat lines of other articles; lines of elements that name
+what surrounds a text (navigation, header, footer, aside, form, adverts, notices,
+comments of readers) go though no other page has them, as menus and adverts differ from
+page to page. An article's own header is part of it. A class or id counts if all its
+words name surroundings, or places on a page besides, and only on elements that hold blocks.
 
-Pages are range-partitioned by (host, path, page_id); a page's neighbours are those
-of its partition, so a hot host spreads over partitions. Each task streams its rows
-and holds three pages.
+A neighbour is a copy if differencing would leave less than COPY of the page's text; then
+the neighbour on the other side decides, and if that's a copy too, no line goes by
+differencing.
+
+The order is cut into ranges, as even as Spark's, and each range also gets the pages of
+other content nearest to its ends, found from keys and hashes alone. So a page's
+neighbours don't depend on partitions, and a hot host or path spreads over ranges. Each
+task streams its rows and holds three pages and the keys of one run of equal pages.
 
 Defined cases: null html gives an empty text; null url is the empty host and path;
-a page alone on its host keeps its open blocks; equal pages share all open lines
-and lose them; rows that repeat an id are pages of their own; an empty table gives
-an empty result; other columns are ignored.
+a page whose host has no other content keeps its open lines; equal pages give equal
+texts; rows that repeat an id are pages of their own; a page is read whole, however
+long; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qualweave.session import cut
+
 OPEN, CONTENT, BOILERPLATE = 0, 1, 2
 #: Elements that start and end a block.
 BLOCKS = frozenset(
@@ -49,6 +60,11 @@ AROUND_WORDS = frozenset(
     "footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion related reply replies "
     "respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that only say where on a page something is.
+PLACE_WORDS = frozenset("site page main top bottom left right box block area section wrap wrapper container list bar panel item inner outer global primary secondary user reader".split())
+#: Elements whose class, id and role count: those that hold blocks.
+HOLDERS = frozenset("div section ul ol dl table aside nav header footer form fieldset details center".split())
+COPY = 0.05
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
@@ -56,13 +72,14 @@ SPACE = re.compile(r"\s+")
 CLOSED_BY_BLOCK = frozenset({"p"})
 
 
-def _around(name: str, attributes: str) -> bool:
+def _around(name: str, attributes: str, inside: int) -> bool:
     if name in AROUND:
-        return True
-    if "=" not in attributes or name in ("body", "html", "article", "main"):
+        return name != "header" or inside != CONTENT
+    if "=" not in attributes or name not in HOLDERS:
         return False
-    found = " ".join("".join(m) for m in NAMES.findall(attributes)).lower()
-    return bool(found) and not AROUND_WORDS.isdisjoint(re.split(r"[^a-z]+", found))
+    tokens = " ".join("".join(m) for m in NAMES.findall(attributes)).lower().split()
+    parts = [frozenset(re.findall(r"[a-z]+", t)) for t in tokens]
+    return any(p & AROUND_WORDS and p <= AROUND_WORDS | PLACE_WORDS for p in parts)
 
 
 def blocks(html: str | None) -> tuple[list[str], list[int]]:
@@ -117,7 +134,7 @@ def blocks(html: str | None) -> tuple[list[str], list[int]]:
             elif name in ("br", "img"):
                 pending.append(" ")
             if name not in VOID:
-                inside = BOILERPLATE if role == BOILERPLATE or _around(name, m[3] or "") else CONTENT if name in ("article", "main") else role
+                inside = BOILERPLATE if role == BOILERPLATE or _around(name, m[3] or "", role) else CONTENT if name in ("article", "main") else role
                 if inside != role:
                     flush()
                 stack.append((name, inside))
@@ -133,8 +150,6 @@ def lcs(a: list[str], b: list[str]) -> list[int]:
         where.setdefault(b[j], []).append(j)
     ends: list[int] = []
     links: list[tuple[int, tuple | None]] = []
-    from bisect import bisect_left
-
     for i, x in enumerate(a):
         for j in where.get(x, ()):
             k = bisect_left(ends, j)
@@ -156,38 +171,60 @@ def _common(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def difference(own: tuple[list[str], list[int]], near: tuple[list[str], list[int]] | None) -> list[str]:
-    """The page's lines without boilerplate and without open lines that it shares with the near page."""
+Page = tuple[list[str], list[int]]
+
+
+def difference(own: Page, neighbours: list[Page]) -> list[str]:
+    """The page's lines without those that the first neighbour that is no copy has too, but for the vetoes of structure."""
     texts, roles = own
-    rows = [i for i, r in enumerate(roles) if r != BOILERPLATE]
-    gone: set[int] = set()
-    if near is not None and any(roles[i] == OPEN for i in rows):
-        gone = {i for i in lcs(texts, near[0]) if roles[i] == OPEN}
-    return [texts[i] for i in rows if i not in gone]
+    stay = {i for i, r in enumerate(roles) if r != BOILERPLATE}
+    before = sum(len(texts[i]) for i in stay)
+    for near in neighbours:
+        left = stay - {i for i in lcs(texts, near[0]) if roles[i] != CONTENT}
+        if sum(len(texts[i]) for i in left) >= COPY * before:
+            stay = left
+            break
+    return [texts[i] for i in sorted(stay)]
+
+
+def by_nearness(path: str, before: tuple[str, Page] | None, after: tuple[str, Page] | None) -> list[Page]:
+    """The pages beside a path, the one with the longer common prefix first, of equals the one before. Each: path, page."""
+    some = [(-_common(path, x[0]), k, x[1]) for k, x in enumerate((before, after)) if x is not None]
+    return [page for _, _, page in sorted(some, key=lambda n: n[:2])]
 
 
 def _paired(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come ordered by host, path and id; a page is written once its next one is known."""
-    before = current = None
+    """Rows come ordered by range, host, path and id; a run of equal pages is written once the next page is known."""
+    columns = ["page_id", "url", "text", "n_chars"]
+    mark = before = run = None  # range and host; the run before, with its last path and page; this one, with its rows
     out: list[tuple] = []
 
-    def write(before, page, after) -> None:
-        near = [(_common(page[3], x[3]), k, x) for k, x in ((1, before), (0, after)) if x is not None and x[2] == page[2]]
-        text = "\n".join(difference(page[4], max(near, key=lambda n: n[:2])[2][4] if near else None))
-        out.append((page[0], page[1], text, len(text)))
+    def write(after: tuple[str, Page] | None) -> None:
+        known: dict[tuple[bool, bool], str] = {}
+        for page_id, url, path, guest in run[2]:
+            if not guest:
+                near = by_nearness(path, before, after)
+                first = (bool(near), bool(near) and before is not None and near[0] is before[1])
+                if first not in known:
+                    known[first] = "\n".join(difference(run[1], near))
+                out.append((page_id, url, known[first], len(known[first])))
 
     for pdf in source:
         for row in pdf.itertuples(index=False):
-            page = (row.page_id, row.url, row.host, row.path, blocks(row.html))
-            if current is not None:
-                write(before, current, page)
-            before, current = current, page
-            if len(out) >= 200:
-                yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
-                out = []
-    if current is not None:
-        write(before, current, None)
-        yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
+            here = (row.part, row.host)
+            if here != mark or row.content != run[0]:
+                page = blocks(row.html)
+                if run is not None:
+                    write((row.path, page) if here == mark else None)
+                before = (run[2][-1][2], run[1]) if here == mark else None
+                mark, run = here, (row.content, page, [])
+            run[2].append((row.page_id, row.url, row.path, row.guest))
+        if len(out) >= 200:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    if run is not None:
+        write(None)
+    yield pd.DataFrame(out, columns=columns)
 
 
 def host_of(url: Column) -> Column:
@@ -201,8 +238,74 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+_ORDER = ["host", "path", "page_id", "url", "content"]
+
+
+def _ends(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row of each of the first two and last two runs of equal pages of a range, whose keys come in order; end: 0, 1 and -2, -1."""
+    first: list[tuple] = []
+    last: list[tuple] = []
+    part = None
+    for pdf in source:
+        for row in pdf.itertuples(index=False):
+            part = row.part
+            if not last or (row.host, row.content) != (last[-1].host, last[-1].content):
+                last = [*last[-1:], row]
+                first = [*first, row][:2]
+            else:
+                last[-1] = row
+    rows = [(part, k, r.host, r.content, r.mark) for k, r in enumerate(first)] + [(part, k - len(last), r.host, r.content, r.mark) for k, r in enumerate(last)]
+    yield pd.DataFrame(rows, columns=["part", "end", "host", "content", "mark"])
+
+
+def _guests(ends: list) -> list[tuple[int, int]]:
+    """(mark, part) of rows that a range needs from others: the two nearest runs before and after it, on its own host."""
+    by_part: dict[int, dict[int, tuple]] = {}
+    for r in ends:
+        by_part.setdefault(r.part, {})[r.end] = r
+    parts, found = sorted(by_part), set()
+    for order, near, far in ((parts, (-2, -1), 0), (parts[::-1], (1, 0), -1)):
+        seen: list = []  # the two runs met last, the nearest one at the end
+        for p in order:
+            found |= {(r.mark, p) for r in seen if r.host == by_part[p][far].host}
+            for r in (by_part[p][e] for e in near if e in by_part[p]):
+                if seen and (r.host, r.content) == (seen[-1].host, seen[-1].content):
+                    seen[-1] = r
+                else:
+                    seen = [*seen[-1:], r]
+    return sorted(found)
+
+
+def _part(bounds: list[tuple]) -> Column:
+    """How many bounds (host, path, page_id) are at most a row's key, by two levels of comparison."""
+    if not bounds:
+        return F.lit(0)
+    key = F.struct(F.col("host").alias("h"), F.col("path").alias("p"), F.col("place").alias("i"))
+    literal = lambda b: F.struct(F.lit(b[0]).alias("h"), F.lit(b[1]).alias("p"), F.lit(b[2]).cast("long").alias("i"))
+    step = ceil(sqrt(len(bounds)))
+    groups = [F.array(*map(literal, bounds[i : i + step])) for i in range(0, len(bounds), step)]
+    at_most = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    coarse = at_most(F.array(*map(literal, bounds[::step])))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + at_most(F.get(F.array(*groups), coarse - 1))).cast("int")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    ordered = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
+    spark = pages.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    keyed = keyed.withColumns({"content": F.xxhash64("html"), "place": F.coalesce("page_id", F.lit(-(1 << 63)))}).withColumn("mark", F.xxhash64(*_ORDER))
+    light = keyed.drop("html").repartitionByRange(ranges, "host", "path", "place").sortWithinPartitions(*_ORDER)
+    light = cut(light.withColumn("part", F.spark_partition_id()))
+    # Bounds and guests: some rows a range, whatever the size of the table.
+    bounds = sorted((r.k.host, r.k.path, r.k.place) for r in light.groupBy("part").agg(F.min(F.struct("host", "path", "place")).alias("k")).collect())
+    guests = _guests(light.mapInPandas(_ends, "part int, end int, host string, content long, mark long").collect())
+    parts = sorted({r.part for r in light.select("part").distinct().collect()})
+    number = {p: k for k, p in enumerate(parts)}
+    invited = spark.createDataFrame([(m, number[p]) for m, p in guests], "mark long, to int").groupBy("mark").agg(F.collect_list("to").alias("others"))
+    own = F.struct(_part(bounds[1:]).alias("part"), F.lit(False).alias("guest"))
+    sent = F.transform(F.coalesce("others", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest")))
+    placed = keyed.join(F.broadcast(invited), "mark", "left").withColumn("at", F.explode(F.concat(F.array(own), sent)))
+    dealt = placed.select("page_id", "url", "host", "path", "html", "content", F.col("at.part").alias("part"), F.col("at.guest").alias("guest"))
+    ordered = dealt.repartitionByRange(max(1, len(parts)), "part").sortWithinPartitions("part", *_ORDER)
     return ordered.mapInPandas(_paired, "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,7 @@
 import random
+import re
 
+from pyspark.sql import functions as F
 from qualweave.llm import html_diff, url_trust
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head><body>
@@ -12,7 +14,7 @@ TEXT = "Head & more\nOne two three four\nFive six€\ni\nii\nEnd"
 
 def test_article_without_its_surroundings():
     texts, roles = html_diff.blocks(PAGE.format(before="", after=""))
-    assert "\n".join(html_diff.difference((texts, roles), None)) == TEXT
+    assert "\n".join(html_diff.difference((texts, roles), [])) == TEXT
     assert html_diff.blocks(None) == ([], []) and html_diff.blocks("") == ([], [])
     assert html_diff.blocks("a <b") == (["a"], [0]) and html_diff.blocks("1 < 2 &am")[0] == ["1 < 2 &am"]
     assert html_diff.blocks("<script>never closed <p>x") == ([], [])
@@ -48,6 +50,62 @@ def test_open_lines_shared_with_the_nearest_page_go(spark):
     assert html_diff.extract(pages.limit(0)).count() == 0
 
 
+def plain_host(url):
+    m = re.match(r"(?s).*?://([^/?#]*)", url or "")
+    return m[1].translate({c: c + 32 for c in range(65, 91)}) if m else ""
+
+
+def plain_path(url):
+    m = re.match(r"(?s).*?://[^/?#]*([^?#]*)", url or "")
+    return m[1] if m else ""
+
+
+def brute_texts(data):
+    """Neighbours by scanning the whole sorted list both ways."""
+    rows = sorted(((plain_host(u), plain_path(u), i if i is not None else -(1 << 63), u or "", h or "", i) for i, u, h in data), key=lambda r: r[:5])
+    out = []
+    for k, (host, path, _, url, page, i) in enumerate(rows):
+        beside = []
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(rows) and rows[j][0] == host and rows[j][4] == page:
+                j += step
+            beside.append((rows[j][1], html_diff.blocks(rows[j][4])) if 0 <= j < len(rows) and rows[j][0] == host else None)
+        out.append((i, "\n".join(html_diff.difference(html_diff.blocks(page), html_diff.by_nearness(path, *beside)))))
+    return sorted(out, key=repr)
+
+
+def test_texts_do_not_depend_on_partitions(spark, small):
+    rng = random.Random(5)
+    menu = "<div>Home</div><div>About us</div>"
+    data = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    for i in range(150):
+        host, k = rng.choice(("a.test", "a.test", "b.test")), rng.randrange(40)
+        body = f"<div>Story {k} of {host} is a rather long line of text</div>"
+        data.append((9000 + i, f"http://{host}/s/{k}{rng.choice(('', '?x', '/'))}", f"{menu}{body}<div>Imprint</div>"))
+    data += [(9500 + i, f"http://hot.test/{i % 3}", f"{menu}<div>The same story on every page</div>") for i in range(60)] + [(9700, "http://hot.test/1/9", f"{menu}<div>Another story</div>")]
+    data += [(9700, "http://hot.test/1/9", f"{menu}<div>Another story</div>"), (None, None, None), (1, None, "<p>x"), (9900, "http://long.test/", "<p>word</p>" * 20_000)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "part": F.lit(1), "content": F.lit("c"), "text": F.lit("t")})
+    expected = brute_texts(data)
+    assert dict(expected)[9500] == "The same story on every page" and dict(expected)[9700] == "Another story"
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = html_diff.extract(pages.repartition(3)).collect()
+            assert sorted(((r.page_id, r.text) for r in got), key=repr) == expected, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_structure_has_a_veto():
+    page = "<header>Site</header><article><header><h1>Title</h1></header><p class=header>Lead</p><section id=replies-explained>On replies</section><div class='reader-comments'>Me too</div></article><div class='site-footer top'>(c)</div>"
+    assert html_diff.difference(html_diff.blocks(page), [html_diff.blocks(page)]) == ["Title", "Lead", "On replies"]
+    one, two = "<div>Menu</div><div>A story that is long enough</div>", "<div>Menu</div><div>Quite another story, and long</div>"
+    assert html_diff.difference(html_diff.blocks(one), [html_diff.blocks(one), html_diff.blocks(two)]) == ["A story that is long enough"]
+    assert html_diff.difference(html_diff.blocks(one), [html_diff.blocks(one)]) == ["Menu", "A story that is long enough"]
+
+
 def brute_ranks(seeds, edges, n):
     total = {}
     for a, _, w in edges:
