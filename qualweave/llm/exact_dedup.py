@@ -11,8 +11,9 @@ never meets in one task as whole rows.
 
 Defined cases: null text counts as empty; empty texts are copies of each other;
 rows that repeat an id are copies like any others and share the outcome of that
-id; a null id is smaller than any other; an empty table gives an empty result;
-other columns are ignored by exact_classes and kept as they are by exact_keep.
+id; a null id is smaller than any other; a text longer than a table has one of its
+own and is compared whole; an empty table gives an empty result; other columns are
+ignored by exact_classes and kept as they are by exact_keep, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qualweave.llm.graphs import free
+
 TABLE_BYTES = 64 << 20
 FIRST_BITS, MORE_BITS, LEVELS = 12, 6, 8
 LISTED_BUCKETS = 10_000
-LEAF, RANK, ROWS = "__leaf", "__rank", "__rows"
 
 
 class ContentTable:
@@ -85,8 +87,9 @@ def _hash(content: bytes) -> int:
 class _Reducer:
     """Streams Arrow batches through tables; yields the winning row of each content."""
 
-    def __init__(self, text: str, limit: int, counted: bool) -> None:
+    def __init__(self, text: str, names: list[str], limit: int, counted: bool) -> None:
         self.text, self.limit, self.counted = text, limit, counted
+        self.leaf, self.rank, self.rows = names
 
     def _drain(self, table: ContentTable, held: dict[int, tuple[int, int]], batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_batch: dict[int, list[tuple[int, int]]] = {}
@@ -95,13 +98,13 @@ class _Reducer:
         for b, picks in by_batch.items():
             rows = [r for r, _ in picks]
             out = batches[b].take(pa.array(rows, pa.int64()))
-            yield out.set_column(out.schema.get_field_index(ROWS), ROWS, pa.array([table.rows[e] for _, e in picks], pa.int64()))
+            yield out.set_column(out.schema.get_field_index(self.rows), self.rows, pa.array([table.rows[e] for _, e in picks], pa.int64()))
 
     def __call__(self, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, batches, size, leaf = ContentTable(), {}, [], 0, None
         for whole in source:
             names = whole.schema.names
-            leaves = whole.column(names.index(LEAF)).to_pylist()
+            leaves = whole.column(names.index(self.leaf)).to_pylist()
             start = 0
             while start < len(leaves):
                 stop = start + 1
@@ -113,8 +116,8 @@ class _Reducer:
                 leaf = leaves[start]
                 part = whole.slice(start, stop - start)
                 texts = part.column(names.index(self.text)).to_pylist()
-                ranks = part.column(names.index(RANK)).to_pylist()
-                counts = part.column(names.index(ROWS)).to_pylist()
+                ranks = part.column(names.index(self.rank)).to_pylist()
+                counts = part.column(names.index(self.rows)).to_pylist()
                 fresh = False
                 for i, t in enumerate(texts):
                     content = (t or "").encode("utf-8", "surrogatepass")
@@ -155,17 +158,18 @@ def _leaves(docs: DataFrame, text: str, table_bytes: int):
     return rule(h)
 
 
-def _winners(docs: DataFrame, id_col: str, text_col: str, table_bytes: int) -> DataFrame:
-    """One row of docs for each distinct content, that of the largest id, with its bucket and row count."""
-    marked = docs.withColumns({LEAF: _leaves(docs, text_col, table_bytes), RANK: F.col(id_col).cast("long"), ROWS: F.lit(1).cast("long")})
-    local = marked.mapInArrow(_Reducer(text_col, table_bytes, False), marked.schema)
-    dealt = local.repartition(F.col(LEAF)).sortWithinPartitions(LEAF)
-    return dealt.mapInArrow(_Reducer(text_col, table_bytes, True), marked.schema)
+def _winners(docs: DataFrame, id_col: str, text_col: str, table_bytes: int) -> tuple[DataFrame, str]:
+    """One row of docs for each distinct content, that of the largest id, and the name of a column that counts its rows."""
+    names = leaf, rank, rows = free(docs, "grace_leaf", "grace_rank", "grace_rows")
+    marked = docs.withColumns({leaf: _leaves(docs, text_col, table_bytes), rank: F.col(id_col).cast("long"), rows: F.lit(1).cast("long")})
+    local = marked.mapInArrow(_Reducer(text_col, names, table_bytes, False), marked.schema)
+    dealt = local.repartition(F.col(leaf)).sortWithinPartitions(leaf)
+    return dealt.mapInArrow(_Reducer(text_col, names, table_bytes, True), marked.schema), rows
 
 
 def exact_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Rows of docs, all columns, of which each content has one: the row with the largest id."""
-    return _winners(docs, id_col, text_col, table_bytes).select(*docs.columns)
+    return _winners(docs, id_col, text_col, table_bytes)[0].select(*docs.columns)
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -175,9 +179,8 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     to the rows, so that no list of a group's members is ever built.
     """
     docs = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    classes = _winners(docs, id_col, text_col, table_bytes).select(
-        F.sha2(F.col(text_col), 256).alias("text_sha256"), F.col(id_col).alias("keep_id"), F.col(ROWS).alias("group_size")
-    )
+    winners, rows = _winners(docs, id_col, text_col, table_bytes)
+    classes = winners.select(F.sha2(F.col(text_col), 256).alias("text_sha256"), F.col(id_col).alias("keep_id"), F.col(rows).alias("group_size"))
     return (
         docs.select(F.col(id_col), F.sha2(F.col(text_col), 256).alias("text_sha256"))
         .join(classes, "text_sha256")

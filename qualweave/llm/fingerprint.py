@@ -8,8 +8,10 @@ a short text that a long one contains can be estimated from sketches alone.
 Defined cases: null text is empty; a text of one to four words has one shingle of
 all its words; a text without words has an empty fingerprint; two empty
 fingerprints have likeness 1.0 if the texts are equal and 0.0 if not; a null id
-comes first; rows that repeat an id follow each other in order of their text; an
-empty table gives an empty result; other columns are ignored.
+comes first; rows that repeat an id follow each other in order of their text; a text
+is sketched whole, however long; an empty table gives an empty result; other columns
+are ignored, whatever their names. Beyond MOST_BUCKETS * BUCKET_CHARS characters
+ranges of ids grow with the corpus; they are sorted and spilled by Spark.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualweave.session import cut
+from qualweave.session import cut, saved
 
 #: At most this many ids (8 bytes each) are broadcast; beyond it, joins shuffle.
 BROADCAST_IDS = 500_000
@@ -40,12 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest id of each vertex's component. edges: a, b, without order.
 
     Each round a vertex takes the smallest label next to it, and then the label of that
-    label, so a chain of n vertices takes about log2(n) rounds; each has one checkpoint
-    of a row a vertex.
+    label, so a chain of n vertices takes about log2(n) rounds; each writes one
+    row a vertex.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both)
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"), F.lit(True).alias("moved")))
+    both = saved(both)
+    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"), F.lit(True).alias("moved")))
     while True:
         # Only vertices that moved can move others.
         moved = labels.where("moved").select(F.col("id").alias("b"), "label")
@@ -53,6 +53,6 @@ def components(edges: DataFrame) -> DataFrame:
         taken = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
         of = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         jumped = taken.join(of, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
-        labels = cut(jumped.select("id", "label", (F.col("label") < F.col("was")).alias("moved")))
+        labels = saved(jumped.select("id", "label", (F.col("label") < F.col("was")).alias("moved")))
         if labels.where("moved").isEmpty():
             return labels.select("id", "label")

@@ -42,7 +42,7 @@ HARMLESS_NAMES = "commit sha sha1 sha256 md5 checksum digest hash etag uuid guid
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"
     rf"|(?i:\b(?:{'|'.join(map(re.escape, SECRET_NAMES))})\b[\"']?\s*(?:[:=]|=>|:=)\s*[\"']?)(?P<value>[^\s\"']{{6,}})"
-    r"|(?<![A-Za-z0-9+/_=.@~-])(?=[A-Za-z+/_=.@~-]{0,64}[0-9])[A-Za-z0-9+/_=.@~-]{16,}"
+    r"|(?<![A-Za-z0-9+/_=.@~-])(?=[A-Za-z+/_=.@~-]*[0-9])[A-Za-z0-9+/_=.@~-]{16,}"
 )
 FEATURES = (
     "length distinct digits uppers lowers others hex_only entropy changes letter_pairs coverage longest_word slashes dots at_sign path_before "
@@ -74,36 +74,35 @@ class Describer:
 
     def __call__(self, text: str, start: int, end: int) -> list[float]:
         s = text[start:end]
-        short = s[:512]
-        code = np.array([min(ord(c), 127) for c in short])
+        code = np.array([min(ord(c), 127) for c in s])
         kind = _CLASS[code]
-        share = np.bincount(kind, minlength=4)[:4] / len(short)
-        p = np.bincount(code) / len(short)
+        share = np.bincount(kind, minlength=4)[:4] / len(s)
+        p = np.bincount(code) / len(s)
         p = p[p > 0]
-        letters = re.findall(r"[a-z]+", short.lower())
+        letters = re.findall(r"[a-z]+", s.lower())
         codes = [[0, *(ord(c) - 96 for c in w), 0] for w in letters]
         pair = [self.pairs[a, b] for w in codes for a, b in zip(w[:-1], w[1:], strict=True)]
-        coverage, longest = self._coverage(short)
+        coverage, longest = self._coverage(s)
         before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
         near = re.findall(r"[A-Za-z_-]+[0-9]*", before.lower())[-4:]
         far = re.findall(r"[A-Za-z_-]+[0-9]*", after.lower())[:3]
         said = lambda ws, names: float(any(w.strip("_-") in names for w in ws))
         return [
-            float(min(len(s), 4096)),
-            len(set(short)) / len(short),
+            float(len(s)),
+            len(set(s)) / len(s),
             float(share[1]),
             float(share[2]),
             float(share[3]),
             float(share[0]),
-            float(bool(re.fullmatch(r"[0-9a-fA-F]+", short))),
+            float(bool(re.fullmatch(r"[0-9a-fA-F]+", s))),
             float(-(p * np.log2(p)).sum()),
             float((kind[1:] != kind[:-1]).mean()) if len(kind) > 1 else 0.0,
             float(np.mean(pair)) if pair else -5.0,
             coverage,
             float(longest),
-            float(short.count("/") + short.count("\\")),
-            float(short.count(".")),
-            float("@" in short),
+            float(s.count("/") + s.count("\\")),
+            float(s.count(".")),
+            float("@" in s),
             float(bool(re.search(r"(?:[A-Za-z]:|\.{0,2})[/\\][\w./\\-]*$", before))),
             float(bool(re.search(r"(?:[:=]|=>)\s*[\"']?$", before))),
             float(before[-1:] in "\"'`" and before != ""),

@@ -11,8 +11,10 @@ id are no inputs of a score.
 
 Defined cases: null text is empty, and an empty text scores by the bias alone;
 a null or missing label leaves the row out of the fit; of rows that repeat a label
-the largest counts; without labelled rows of both classes every score is 0.0; an
-empty table gives an empty result; other columns are carried by drop_toxic.
+the largest counts; of texts that share a labelled id one is fitted; without labelled
+rows of both classes every score is 0.0; a text is read whole, in slices of SLICE
+characters that overlap; an empty table gives an empty result; other columns are
+carried by drop_toxic, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qualweave.llm.graphs import free
+
 FIT_ROWS = 10_000
 BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5, 6)
 EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.02, 1e-3
 THRESHOLD = 0.5
 SLICE = 1 << 20
-SCORE = "__score"
 
 
 @dataclass
@@ -143,18 +146,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if usable is not None:
         known = known.where(usable)
     chosen = known.groupBy(id_col).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
-    # fit_rows bounds what is broadcast and what is collected.
+    # fit_rows bounds what is broadcast and, as each id gives one row, what is collected.
     spark = docs.sparkSession
     listed = spark.createDataFrame(chosen.toPandas(), chosen.schema)
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(listed), id_col).select(F.xxhash64(id_col, "text").alias("place"), "toxic", "text")
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(listed), id_col)
+    rows = rows.groupBy(id_col).agg(F.min(F.struct(F.xxhash64(id_col, "text").alias("place"), "toxic", "text")).alias("r")).select("r.*")
     # Packed features stay packed on the driver but for one batch at a time.
     sample = rows.mapInPandas(_featurize, "place long, toxic int, f binary").collect()
     sample.sort(key=lambda r: r.place)
     return fit([bytes(r.f) for r in sample], np.array([r.toxic for r in sample], np.int64))
 
 
-def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = SCORE) -> DataFrame:
-    """docs and a score in (0, 1); no shuffle."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs and a score in (0, 1), in a column that docs doesn't have yet; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +178,13 @@ def held_out(id_col: str = "doc_id"):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """id, held_out, score, predicted for each row of docs; labels of held-out rows are never read."""
     model = train(docs, labels, id_col, text_col, fit_rows, ~held_out(id_col))
-    scored = with_score(docs.select(id_col, text_col), model, text_col)
-    return scored.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
+    (name,) = free(docs.select(id_col, text_col), "score")
+    scored = with_score(docs.select(id_col, text_col), model, text_col, name)
+    return scored.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Rows of docs that score under 0.5, all columns."""
     model = train(docs, labels, id_col, text_col, fit_rows, ~held_out(id_col))
-    return with_score(docs, model, text_col).where(F.col(SCORE) < THRESHOLD).select(*docs.columns)
+    (name,) = free(docs, "score")
+    return with_score(docs, model, text_col, name).where(F.col(name) < THRESHOLD).select(*docs.columns)

@@ -8,13 +8,14 @@ those that link to them. A host is blocked if its distrust exceeds its trust by
 THRESHOLD of what a wholly blocked host has by itself.
 
 Links are the href values of a elements; those that name a host give edges between
-hosts, weighted by their number. Ranks stay DataFrames, one row per host, and each
-ITERATIONS step is one join and one sum.
+hosts, weighted by their number. Ranks stay DataFrames, one row per host; each step is
+one join and one sum, and steps go on until no rank moves by more than TOLERANCE.
 
 Defined cases: a null url, or one without ://, has the empty host and path, which
 no rule fits and which isn't a host of the graph, so it is allowed; null html has no links; rows that
-repeat a page count each; a host without links has its own seed alone; an empty
-table gives an empty result; other columns are ignored.
+repeat a page count each; a host without links has its own seed alone; html is
+searched whole for links, however long; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qualweave.llm.graphs import sized
 from qualweave.llm.html_diff import host_of, path_of
-from qualweave.session import cut
+from qualweave.session import cut, saved
 
 #: rule text and verdict; the text up to its first slash is the host, the rest the path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-ITERATIONS = 12
+#: Ranks are settled when none moves by more; what is under way shrinks by DAMPING a step, so about 90 steps are the most.
+TOLERANCE = 1e-6
 THRESHOLD = 0.5
 HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 LINK_HOST = r"(?s)^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]+)"
@@ -60,18 +63,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, rank: rank = (1 - damping) * seed + damping * (what links bring). seeds: host, seed. edges: src, dst, links."""
     total = edges.groupBy("src").agg(F.sum("links").alias("total"))
-    flow = cut(edges.join(total, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")))
-    ranks = cut(seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("rank")))
+    flow = saved(edges.join(total, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")))
+    ranks = saved(seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("rank")))
     own = ranks.withColumnsRenamed({"rank": "own"})
     if flow.isEmpty():
         return ranks
-    for _ in range(iterations):
+    while True:
         brought = flow.join(ranks, flow.src == ranks.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("brought"))
-        ranks = cut(own.join(brought, "host", "full").select("host", (F.coalesce("own", F.lit(0.0)) + damping * F.coalesce("brought", F.lit(0.0))).alias("rank")))
-    return ranks
+        new = own.join(brought, "host", "full").select("host", (F.coalesce("own", F.lit(0.0)) + damping * F.coalesce("brought", F.lit(0.0))).alias("rank"))
+        step = saved(new.join(ranks.withColumnRenamed("rank", "was"), "host", "left").withColumn("was", F.coalesce("was", F.lit(0.0))))
+        ranks = step.select("host", "rank")
+        if not step.where(F.abs(F.col("rank") - F.col("was")) > tolerance).limit(1).count():
+            return ranks
 
 
 def host_verdicts(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,7 +96,7 @@ def host_verdicts(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages."""
-    hosts = cut(host_verdicts(pages, rules, threshold)).withColumnRenamed("host", "h_host")
+    hosts = sized(cut(host_verdicts(pages, rules, threshold)).withColumnRenamed("host", "h_host"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")

@@ -161,3 +161,40 @@ def test_frequent_and_rare_seeds_give_the_same_passages(spark, monkeypatch):
     told = key()
     monkeypatch.setattr(substring_chain, "COMMON", 2.0)
     assert key() == told and {(r[0], r[1]) for r in told} == {(i, 0) for i in range(3, 300, 3)}
+
+
+#: Findings labelled by hand: text, candidate, and whether it is a secret.
+BY_HAND = [
+    ('export AWS_SECRET_ACCESS_KEY="wJalrXUtnFEMI7K9MDENG8bPxRfiCYzEQq1LmTe2"', "wJalrXUtnFEMI7K9MDENG8bPxRfiCYzEQq1LmTe2", 1),
+    ("github token: ghp_9aXk2LmQ8vTz4RwY7bNc3JdF6hPs1EgU0iOo please rotate", "ghp_9aXk2LmQ8vTz4RwY7bNc3JdF6hPs1EgU0iOo", 1),
+    ("db password = hT7$kq9!Zr2&Lm4x and the port is 5432", "hT7$kq9!Zr2&Lm4x", 1),
+    ("client_secret=8f14e45fceea167a5a36dedd4bea2543", "8f14e45fceea167a5a36dedd4bea2543", 1),
+    ('api_key: "sk-T3BlbkFJ9xQ2mZ7vLr5KpW8sNd4YhG1c"', "sk-T3BlbkFJ9xQ2mZ7vLr5KpW8sNd4YhG1c", 1),
+    ("Authorization: eyJhbGciOiJIUzI1NiJ9eyJzdWIiOiIxMjM0NTY3ODkwIn0dozjgNryP4J3jVmNHl0w5N", "eyJhbGciOiJIUzI1NiJ9eyJzdWIiOiIxMjM0NTY3ODkwIn0dozjgNryP4J3jVmNHl0w5N", 1),
+    ("fixed in commit 3f786850e387550fdab836ed7e6dc881de23001b last week", "3f786850e387550fdab836ed7e6dc881de23001b", 0),
+    ("sha1: 2fd4e1c67a2d28fced849ee1bb76e7391b93eb12", "2fd4e1c67a2d28fced849ee1bb76e7391b93eb12", 0),
+    ("the uuid 123e4567-e89b-12d3-a456-426614174000 names the row", "123e4567-e89b-12d3-a456-426614174000", 0),
+    ("call order 4532015112830366 arrived", "4532015112830366", 0),
+    ("see reports/annual/summary/figures2021.txt for more", "reports/annual/summary/figures2021.txt", 0),
+    ("write to someone.else42@mail7.example.com today", "someone.else42@mail7.example.com", 0),
+    ("password = your_password_here", "your_password_here", 0),
+    ("the backup of 2024-06-17T09-00-00 was moved", "2024-06-17T09-00-00", 0),
+    ("class AbstractFactoryBuilder2 extends nothing", "AbstractFactoryBuilder2", 0),
+]
+
+
+def test_forest_on_findings_labelled_by_hand(spark):
+    data = [(i, t) for i, (t, _, _) in enumerate(BY_HAND)]
+    got = {r.doc_id: r for r in secret_forest.scan(docs(spark, data)).collect() if (r.start_char, r.n_chars) == (BY_HAND[r.doc_id][0].index(BY_HAND[r.doc_id][1]), len(BY_HAND[r.doc_id][1]))}
+    assert set(got) == set(range(len(BY_HAND)))
+    wrong = [BY_HAND[i][0] for i, r in got.items() if r.secret != bool(BY_HAND[i][2])]
+    assert len(wrong) <= 1, wrong
+
+
+def test_candidates_are_described_whole():
+    """A brute-force count over the whole candidate, and a digit that comes late."""
+    long = "Abcdefgh" * 100 + "7" + "xY9/" * 400
+    assert list(secret_forest.candidates(f"see {long} end")) == [(4, 4 + len(long))]
+    describe = secret_forest.Describer(list(secret_forest.dictionary()))
+    f = dict(zip(secret_forest.FEATURES, describe(long, 0, len(long)), strict=True))
+    assert f["length"] == len(long) and f["slashes"] == 400 and f["digits"] == 401 / len(long) and f["distinct"] == len(set(long)) / len(long)

@@ -228,3 +228,49 @@ def test_long_text_features_match_whole():
         assert (toxicity.Features()(text) == whole).all()
     finally:
         toxicity.SLICE = was
+
+
+CLASH = ("__score", "score", "__leaf", "__rank", "__rows", "grace_rows", "Grace_leaf", "grace_rank", "__place", "place", "r", "toxic", "__text", "__fp")
+
+
+def test_columns_of_clashing_names_are_kept(spark):
+    rng = random.Random(6)
+    data = [(i, " ".join(rng.choice(["foul", "word"] if i % 3 else ["kind", "word"]) for _ in range(40)) + f" {i}") for i in range(60)] + [(1, "again"), (1, None), (1, None)]
+    df = docs(spark, data).withColumns({c: F.lit(c) for c in CLASH})
+    labels = spark.createDataFrame([(i, 1, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(df, labels)
+    assert kept.columns == df.columns and all(r[c] == c for r in kept.collect() for c in CLASH)
+    assert {r.doc_id: r.score for r in toxicity.toxicity(df, labels).collect()} == {r.doc_id: r.score for r in toxicity.toxicity(docs(spark, data), labels).collect()}
+    once = exact_dedup.exact_keep(df)
+    assert once.columns == df.columns and all(r[c] == c for r in once.collect() for c in CLASH) and once.count() == len({t or "" for _, t in data})
+    assert rows(exact_dedup.exact_classes(df)) == brute_classes(data)
+    assert rows(fingerprint.fingerprints(df)) == rows(fingerprint.fingerprints(docs(spark, data)))
+    assert rows(mixing.mix(df)) == rows(mixing.mix(docs(spark, data)))
+
+
+def test_toxicity_fit_is_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda features, labels, seed=7: seen.append(len(features)) or toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), np.zeros(toxicity.BUCKETS, np.float32), 0.0))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs(spark, [(i % 20, f"text {i}") for i in range(2000)]), labels, fit_rows=10)
+    assert seen == [10]
+
+
+def test_scores_match_a_plain_model():
+    """The fit against the same classifier written with whole vectors, on a small set."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["abc", "xyz", "mno"] if i % 2 else ["abc", "xyz", "qrs"]) for _ in range(6)) for i in range(40)]
+    labels, features = np.array([i % 2 for i in range(40)]), toxicity.Features()
+    packed = [toxicity._packed(features(t)) for t in texts]
+    model = toxicity.fit(packed, labels)
+    counts = np.ones((2, toxicity.BUCKETS))
+    for t, y in zip(texts, labels, strict=True):
+        counts[y][sorted(set(features(t).tolist()))] += 1
+    ratio = np.log(counts[1] / 22) - np.log(counts[0] / 22)
+    assert np.allclose(ratio, model.ratio, atol=1e-5)
+    for t in texts:
+        x = np.zeros(toxicity.BUCKETS)
+        f = features(t)
+        x[f] = ratio[f]
+        x /= np.sqrt(np.linalg.norm(x))
+        assert abs(1 / (1 + np.exp(-(x @ model.weight + model.bias))) - toxicity.score(model, features, t)) < 1e-4
