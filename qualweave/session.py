@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder, for loops.
+
+    Unlike a checkpoint, a table has the size of its files; estimated sizes of joins would
+    grow by multiplication from round to round.
+    """
+    where = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
