@@ -15,6 +15,7 @@ from qualweave.functions.symbols import parse_ks, six
 from qualweave.operators import metrics, sinks, split
 from qualweave.plans import infer, network, packing, training
 from qualweave.session import ensure_workers
+from qualweave.sources import manifest
 from qualweave.sources.views import VIEWS, predictors
 
 RUNS = "runs/transformer_residual_qrmer"
@@ -54,18 +55,28 @@ def _train(spark: SparkSession, a: argparse.Namespace) -> None:
         raise SystemExit("--eval-max-reads-per-file must be 0 (all) or more")
     config = network.Config(a.q_hat_embed_dim, a.prev_q_embed_dim, a.prev_r_embed_dim, a.qmer_ks, a.rmer_ks, a.qmer_vocab_size, a.rmer_vocab_size, a.qmer_embed_dim, a.rmer_embed_dim, a.d_model, a.num_heads, a.num_layers, a.feedforward_dim, a.context_length, a.mer_stride)
     sinks.save_json(vars(a) | {"model_type": "transformer_residual", "uses_qr_mer": bool(a.qmer_ks or a.rmer_ks)}, Path(a.output_dir) / "config.json")
-    log = training.train(VIEWS[a.view](spark, a.data), a.output_dir, config, a.epochs, a.steps_per_epoch, a.batch_reads, a.eval_max_reads_per_file or None, a.train_fraction, a.lr, a.weight_decay, a.grad_clip, a.seed, a.save_every_epoch)
-    whole = {"epoch", "val_total_symbols", "val_zero_true_freq"}
-    lines = [",".join(log[0]), *(",".join(str(v) if k in whole else six(v) for k, v in row.items()) for row in log)] if log else []
-    (Path(a.output_dir) / "train_log.csv").write_text("".join(f"{x}\r\n" for x in lines), encoding="utf-8", newline="")
-    for row in log:
-        print(f"epoch {row['epoch']}: validation {six(row['val_model_avg_bits_per_quality'])} bits, improvement {row['val_relative_improvement']:.4%}")
+    view = VIEWS[a.view](spark, a.data)
+    manifest.require_valid(view.reads, view.positions)
+    path, whole = Path(a.output_dir) / "train_log.csv", {"epoch", "val_total_symbols", "val_zero_true_freq"}
+    path.write_text("", encoding="utf-8")
+
+    def report(row: dict) -> None:
+        """Each epoch is written as it ends, so that a run that breaks off keeps its log."""
+        values = ",".join(str(v) if k in whole else six(v) for k, v in row.items())
+        with path.open("a", encoding="utf-8", newline="") as log:
+            log.write((",".join(row) + "\r\n" if row["epoch"] == 1 else "") + f"{values}\r\n")
+        gain = "no baseline" if row["val_relative_improvement"] is None else f"improvement {row['val_relative_improvement']:.4%}"
+        print(f"epoch {row['epoch']}: train {six(row['train_bits_per_quality'])} bits, validation {six(row['val_model_avg_bits_per_quality'])} bits, {gain}", flush=True)
+
+    training.train(view, a.output_dir, config, a.epochs, a.steps_per_epoch, a.batch_reads, a.eval_max_reads_per_file or None, a.train_fraction, a.lr, a.weight_decay, a.grad_clip, a.seed, a.save_every_epoch, report)
+    print(f"wrote {path}")
 
 
 def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.max_reads_per_file is not None and a.max_reads_per_file <= 0:
         raise SystemExit("--max-reads-per-file must be positive")
     view = VIEWS[a.view](spark, a.data)
+    manifest.require_valid(view.reads, view.positions)
     config, parameters, _ = network.load(a.checkpoint)
     vectors = described(predictors(view, a.train_fraction))
 
@@ -73,13 +84,19 @@ def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
         return infer.score(packing.packed(view, vectors, config, split.bounds(view.reads, a.split, a.train_fraction, most)), config, parameters)
 
     table = metrics.require_symbols(metrics.compression(scored(a.max_reads_per_file))).orderBy("file")
+    for r in table.collect():
+        print(f"{r.file}: {r.total_symbols} symbols, {six(r.model_avg_bits_per_quality)} bits, baseline {six(r.h5_baseline_avg_bits_per_quality)} bits")
     sinks.write_csv(table.select(*[F.col(c) if kind in ("string", "bigint") else sinks.decimals(F.col(c)).alias(c) for c, kind in table.dtypes]), a.output_csv)
+    print(f"wrote {a.output_csv}")
     if a.sample_predictions:
-        reads = split.within(view.reads, split.bounds(view.reads, a.split, a.train_fraction, a.sample_reads))
+        first = view.reads.agg(F.min("file")).first()[0]
+        reads = split.within(view.reads.where(F.col("file") == first), split.bounds(view.reads.where(F.col("file") == first), a.split, a.train_fraction, a.sample_reads))
         sinks.write_csv(sinks.sample_rows(scored(a.sample_reads), reads).orderBy("read_in_sample", "position_in_read"), a.sample_predictions)
+        print(f"wrote {a.sample_predictions}")
     if a.quality_prob_log and not a.no_quality_prob_log:
         rows = sinks.first_rows(scored(None), a.quality_prob_log_rows, ["file", "read_id", "pos"])
         sinks.write_text(sinks.compact_lines(rows).orderBy("file", "read_id", "pos"), a.quality_prob_log)
+        print(f"wrote {a.quality_prob_log}")
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -21,7 +21,7 @@ def sample_rows(scored: DataFrame, reads: DataFrame) -> DataFrame:
     """
     numbered = nonempty(reads).select("file", "read_id", (F.row_number().over(Window.partitionBy("file").orderBy("read_id")) - 1).alias("read_in_sample"))
     predicted = decoded(F.col("q_hat"), F.col("pred_residual"))
-    return scored.join(F.broadcast(numbered), ["file", "read_id"]).select(
+    return scored.join(numbered, ["file", "read_id"]).select(
         "read_in_sample",
         F.col("pos").alias("position_in_read"),
         F.col("observed").alias("observed_id"),

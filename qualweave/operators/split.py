@@ -32,18 +32,41 @@ def bounds(reads: DataFrame, split: str, fraction: float = TRAIN_FRACTION, max_r
     return train_reads(reads, fraction).select("file", start.alias("start"), stop.alias("stop"))
 
 
+#: Ranges of so many files are written into a query as literals; those of more are joined.
+LITERAL_FILES = 200
+
+
 def within(df: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows of df whose read is in its file's range. ranges: one row a file."""
-    return df.join(F.broadcast(ranges), "file").where((F.col("read_id") >= F.col("start")) & (F.col("read_id") < F.col("stop"))).drop("start", "stop")
+    """Rows of df whose read is in its file's range. ranges: one row a file.
+
+    The bounds are fetched, so that they are literals which scans and windows by read can use.
+    """
+    few = ranges.limit(LITERAL_FILES + 1).collect()
+    if not few:
+        return df.where(F.lit(False))
+    if len(few) > LITERAL_FILES:
+        ends = ranges.agg(F.min("start").alias("start"), F.max("stop").alias("stop")).first()
+        some = df.where((F.col("read_id") >= ends.start) & (F.col("read_id") < ends.stop))
+        return some.join(ranges, "file").where((F.col("read_id") >= F.col("start")) & (F.col("read_id") < F.col("stop"))).drop("start", "stop")
+    chosen = F.lit(False)
+    for r in few:
+        chosen = chosen | ((F.col("file") == r.file) & (F.col("read_id") >= r.start) & (F.col("read_id") < r.stop))
+    return df.where(chosen & (F.col("read_id") >= min(r.start for r in few)) & (F.col("read_id") < max(r.stop for r in few)))
 
 
 def read_range(positions: DataFrame, starts: DataFrame, start: int, stop: int) -> DataFrame:
-    """Positions of reads start to stop - 1 with row indexes counted from the range's first row. starts: offsets()."""
+    """Positions of reads start to stop - 1 with row indexes counted from the range's first row. starts: offsets().
+
+    A range that is empty or goes past the last read of a file is an error.
+    """
     if stop <= start:
         raise SequenceError(f"empty read range: {start} to {stop}")
     chosen = (F.col("read_id") >= start) & (F.col("read_id") < stop)
     some = starts.where(chosen)
-    base = some.groupBy("file").agg(F.min("row_start").alias("base"))
+    short = some.groupBy("file").agg(F.count("*").alias("n"), F.min("row_start").alias("base")).collect()
+    if not short or any(r.n < stop - start for r in short):
+        raise SequenceError(f"read range {start} to {stop} goes beyond the reads of a file")
+    base = positions.sparkSession.createDataFrame([(r.file, r.base) for r in short], "file string, base long")
     return positions.where(chosen).join(some.join(F.broadcast(base), "file"), ["file", "read_id"]).withColumn("row_idx", F.col("row_start") - F.col("base") + F.col("pos")).drop("row_start", "row_stop", "base")
 
 

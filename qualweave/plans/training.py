@@ -7,7 +7,7 @@ large as the model, whatever the corpus.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -76,8 +76,8 @@ def step_gradients(reads: DataFrame, config: network.Config, parameters: network
     return sum(r.loss for r in rows), symbols, sum(r.base for r in rows), gradients
 
 
-def train(view: Sequences, out: str | Path, config: network.Config | None = None, epochs: int = 5, steps: int = 1000, batch_reads: int = 64, eval_reads: int | None = 5000, fraction: float = TRAIN_FRACTION, rate: float = 1e-3, decay: float = 1e-5, grad_clip: float = 1.0, seed: int = SEED, every_epoch: bool = False) -> list[dict]:
-    """The training log. Checkpoints: best (least validation bits, the earliest of equals) and, on request, each epoch.
+def train(view: Sequences, out: str | Path, config: network.Config | None = None, epochs: int = 5, steps: int = 1000, batch_reads: int = 64, eval_reads: int | None = 5000, fraction: float = TRAIN_FRACTION, rate: float = 1e-3, decay: float = 1e-5, grad_clip: float = 1.0, seed: int = SEED, every_epoch: bool = False, report: Callable[[dict], None] | None = None) -> list[dict]:
+    """The training log, each row of which is also handed to report as its epoch ends. Checkpoints: best (least validation bits, the earliest of equals) and, on request, each epoch.
 
     Dropout isn't applied. A validation of NaN raises, as no epoch could then be the best.
     """
@@ -116,6 +116,8 @@ def train(view: Sequences, out: str | Path, config: network.Config | None = None
                 "elapsed_seconds": time.time() - began,
             }
         )
+        if report:
+            report(log[-1])
         if every_epoch:
             network.save(Path(out) / f"epoch_{epoch}", config, parameters, epoch, val, optimizer.state())
         if val["model_avg_bits_per_quality"] < best:

@@ -38,9 +38,24 @@ def offsets(reads: DataFrame) -> DataFrame:
 
 
 def lengths(boundaries: DataFrame) -> DataFrame:
-    """file, read_id, length from boundaries (file, idx, row): read idx ends where the next one starts."""
-    order = Window.partitionBy("file").orderBy("idx")
-    return boundaries.withColumn("stop", F.lead("row").over(order)).where(F.col("stop").isNotNull()).select("file", F.col("idx").alias("read_id"), (F.col("stop") - F.col("row")).cast("int").alias("length"))
+    """file, read_id, length from boundaries (file, idx, row): read idx ends where the next one starts.
+
+    A join by place instead of a window: no file's boundaries meet in one task.
+    """
+    stops = boundaries.select("file", (F.col("idx") - 1).alias("idx"), F.col("row").alias("stop"))
+    return boundaries.join(stops, ["file", "idx"]).select("file", F.col("idx").alias("read_id"), (F.col("stop") - F.col("row")).cast("int").alias("length"))
+
+
+def require_boundaries(boundaries: DataFrame, rows: DataFrame) -> None:
+    """Raises SequenceError unless each file's boundaries (file, idx, row) are two at least, start at 0, never fall and end at its rows (file, rows)."""
+    ends = boundaries.groupBy("file").agg(F.count("*").alias("n"), F.min_by("row", "idx").alias("first"), F.max_by("row", "idx").alias("last"))
+    falls = lengths(boundaries).where("length < 0").groupBy("file").agg(F.count("*").alias("falls"))
+    broken = []
+    for r in ends.join(falls, "file", "left").join(rows, "file", "full").collect():
+        rules = (("fewer than two boundaries", (r.n or 0) < 2), ("the first isn't 0", r["first"] != 0), ("they fall", bool(r.falls)), ("the last isn't the number of rows", r["last"] != r["rows"]))
+        broken += [f"{r.file}: {what}" for what, wrong in rules if wrong]
+    if broken:
+        raise SequenceError("; ".join(sorted(broken)))
 
 
 def violations(reads: DataFrame, positions: DataFrame, freqs: DataFrame | None = None) -> DataFrame:

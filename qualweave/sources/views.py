@@ -27,11 +27,12 @@ def orders(spark: SparkSession, sf_dir: str) -> Sequences:
     """Short reads, some empty: the quantities of an order's lines."""
     line = table(spark, sf_dir, "lineitem")
     order = table(spark, sf_dir, "orders")
-    key = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    known = line.join(order.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    # Windows are dealt by read_id itself, so that a condition on it passes below them to the scan.
+    key = Window.partitionBy("read_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    known = line.join(order.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").withColumnRenamed("l_orderkey", "read_id")
     positions = known.select(
         F.lit("orders").alias("file"),
-        F.col("l_orderkey").alias("read_id"),
+        "read_id",
         (F.row_number().over(key) - 1).alias("pos"),
         F.col("l_quantity").cast("int").alias("observed"),
         F.col("l_linenumber").cast("string").alias("pred_key"),
@@ -43,15 +44,15 @@ def orders(spark: SparkSession, sf_dir: str) -> Sequences:
 
 def events(spark: SparkSession, sf_dir: str) -> Sequences:
     """Medium reads: the clipped values of a user's events in time order."""
-    event = table(spark, sf_dir, "events")
+    event = table(spark, sf_dir, "events").withColumnRenamed("user_id", "read_id")
     positions = event.select(
         F.lit("events").alias("file"),
-        F.col("user_id").alias("read_id"),
-        (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("pos"),
+        "read_id",
+        (F.row_number().over(Window.partitionBy("read_id").orderBy("ts", "event_id")) - 1).alias("pos"),
         F.floor(F.least("value", F.lit(94.0))).cast("int").alias("observed"),
         F.col("event_type").alias("pred_key"),
     )
-    reads = event.groupBy(F.col("user_id").alias("read_id")).agg(F.count("*").cast("int").alias("length")).select(F.lit("events").alias("file"), "read_id", "length")
+    reads = event.groupBy("read_id").agg(F.count("*").cast("int").alias("length")).select(F.lit("events").alias("file"), "read_id", "length")
     return Sequences(reads, positions)
 
 
