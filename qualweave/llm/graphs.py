@@ -56,3 +56,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = saved(jumped.select("id", "label", (F.col("label") < F.col("was")).alias("moved")))
         if labels.where("moved").isEmpty():
             return labels.select("id", "label")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) as components gives them, after further edges links (a, b).
+
+    Only the components that links join are walked again, not the edges within them. Vertices
+    without a label are components of their own so far.
+    """
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    roots = components(cut(ends.distinct()))
+    moved = labels.withColumnRenamed("label", "root").join(sized(roots.withColumnRenamed("id", "root")), "root", "left").select("id", F.coalesce("label", "root").alias("label"))
+    return saved(moved.unionByName(roots.join(labels, "id", "left_anti")))
