@@ -33,6 +33,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 20_240_601
 #: Edges of words kept built between texts, by each task: 24 bytes each, up to twice that while arrays grow.
+#: Beyond that, words that were met in one batch only are forgotten.
 KEPT_EDGES = 2_000_000
 #: Texts of so many characters together are encoded at once; a longer one is encoded alone.
 BATCH_CHARS = 400_000
@@ -54,6 +56,9 @@ LONG_WORD = 48
 UNIT = re.compile(r" *[^ \t\n\x0b\x0c]+| +|[\t\n\x0b\x0c]")
 U = np.uint64
 PIECE_BASE = U(0x9FB21C651E98DF25)
+SPREAD = U(0x9E3779B97F4A7C15)
+#: Beginnings of pieces are looked up by so many leading bits of their spread hashes.
+LEAD = 18
 
 
 @dataclass
@@ -81,8 +86,28 @@ class Vocabulary:
                     raise ValueError("two beginnings of pieces have the same hash")
                 if k == len(p):
                     table[h] = (known, i)
-        self.keys = np.array(sorted(table), U)
-        self.key_ids = np.array([table[h][1] for h in self.keys.tolist()], np.int64)
+        keys = np.array(list(table), U)
+        spread = keys * SPREAD
+        order = np.argsort(spread)
+        self.keys = np.append(spread[order], U(0))
+        self.key_ids = np.array([table[h][1] for h in keys[order].tolist()] + [-1], np.int64)
+        self.leads = np.searchsorted(spread[order], np.arange(1 << LEAD, dtype=U) << U(64 - LEAD))
+        self.leads = np.append(self.leads, len(keys))
+
+    def begins(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these hashes are those of beginnings of pieces, and the pieces that those are, or -1."""
+        spread = h * SPREAD
+        lead = (spread >> U(64 - LEAD)).astype(np.int64)
+        at, stop = self.leads[lead], self.leads[lead + 1]
+        rest = np.flatnonzero(at < stop)
+        found = np.zeros(len(h), bool)
+        while len(rest):
+            same = self.keys[at[rest]] == spread[rest]
+            found[rest[same]] = True
+            rest = rest[~same]
+            at[rest] += 1
+            rest = rest[at[rest] < stop[rest]]
+        return found, self.key_ids[at[found]]
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -128,6 +153,43 @@ class Lattices:
         self.logp = np.zeros(4096)
         self.to = np.zeros(4096, np.int32)
         self.piece = np.zeros(4096, np.int32)
+        self.again = np.zeros(1024, bool)
+
+    def roots(self, units: list[str]) -> np.ndarray:
+        """Start nodes of words; those that aren't there yet are built."""
+        out = np.fromiter(map(self.root.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(out < 0)
+        self._room("again", self.nodes + 1)[out[out >= 0]] = True
+        if len(missing):
+            fresh = [units[i] for i in missing.tolist()]
+            self.build(list(dict.fromkeys(fresh)))
+            out[missing] = np.fromiter(map(self.root.__getitem__, fresh), np.int64, len(fresh))
+            self._room("again", self.nodes + 1)
+        return out
+
+    def trim(self) -> None:
+        """Keeps the words met again since the last trim, as they are built; none, if they are many."""
+        old = [(x, r) for x, r in self.root.items() if self.again[r]]
+        base = np.array([r for _, r in old], np.int64)
+        size = np.array([len(x) for x, _ in old], np.int64)
+        edges = self.first[base + size] - self.first[base] if old else base
+        if not old or int(edges.sum()) > KEPT_EDGES // 2:
+            self.reset()
+            return
+        nodes = np.repeat(base - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        count = self.first[nodes + 1] - self.first[nodes]
+        first = np.cumsum(count) - count
+        at = np.repeat(self.first[nodes] - first, count) + np.arange(int(count.sum()))
+        moved = np.cumsum(size) - size
+        shift = np.repeat(moved - base, edges)
+        cum, logp, to, piece = self.cum[at], self.logp[at], self.to[at], self.piece[at]
+        self.reset()
+        self.nodes, self.edges = len(nodes), len(at)
+        self.first = np.append(first, len(at))
+        self.cum, self.logp, self.piece = cum, logp, piece
+        self.to = np.where(to >= 0, to + shift, -1).astype(np.int32)
+        self.again = np.zeros(self.nodes + 1, bool)
+        self.root = dict(zip([x for x, _ in old], moved.tolist(), strict=True))
 
     def _room(self, name: str, need: int) -> np.ndarray:
         old = getattr(self, name)
@@ -164,9 +226,8 @@ class Lattices:
             if not len(at):
                 break
             h = h * PIECE_BASE + code[at + k] + U(1)
-            found = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
-            begins = v.keys[found] == h
-            at, h, piece = at[begins], h[begins], v.key_ids[found[begins]]
+            begins, piece = v.begins(h)
+            at, h = at[begins], h[begins]
             whole = piece >= 0
             froms.append(at[whole])
             tos.append(at[whole] + k + 1)
@@ -206,10 +267,17 @@ class Lattices:
             total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[p:q])), own))
             beta[source[start[p:q]]] = total
             w[a:b] = x - np.repeat(total, count[p:q])
-        order = np.argsort(source, kind="stable")
-        source, to, piece, w, inside = source[order], to[order], piece[order], w[order], inside[order]
-        start = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
-        count = np.diff(np.concatenate([start, [len(source)]]))
+        # By character; the edges of one stay together.
+        own = source[start]
+        size_of = np.empty(n, np.int64)
+        size_of[own] = count
+        count = size_of
+        ends = np.cumsum(count)
+        shift = (ends - count)[own] - start
+        order = np.empty(len(source), np.int64)
+        order[np.arange(len(source)) + np.repeat(shift, count[own])] = np.arange(len(source))
+        start = ends - count
+        to, piece, w, inside = to[order], piece[order], w[order], inside[order]
         only = start[count == 1]
         w[only] = 0.0
         # Summed within each node, so that no bit depends on the other words.
@@ -458,14 +526,11 @@ class Encoder:
     def __call__(self, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple[np.ndarray, Sample]]]:
         """The samples of each text, best first, with their piece ids."""
         if self.lattices.edges > KEPT_EDGES:
-            self.lattices.reset()
+            self.lattices.trim()
         units = [(UNIT.findall(f" {t}") if self.v.by_word else [f" {t}"]) if t else [] for t in texts]
-        fresh = set().union(*units).difference(self.lattices.root)
-        if fresh:
-            self.lattices.build(sorted(fresh))
-        root = self.lattices.root.__getitem__
         full = [i for i, own in enumerate(units) if own]
-        roots = [np.fromiter(map(root, units[i]), np.int64, len(units[i])) for i in full]
+        cuts = np.cumsum([len(units[i]) for i in full])
+        roots = np.split(self.lattices.roots(list(chain.from_iterable(units))), cuts[:-1]) if full else []
         found = top_k(self.lattices, roots, np.array([keys[i] & (1 << 64) - 1 for i in full], U), k)
         every = [s for samples in found for s in samples]
         ids, count = self.ids(np.concatenate([s.edges for s in every])) if every else (np.zeros(0, np.int32), np.zeros(0, np.int64))
