@@ -49,8 +49,8 @@ SEED = 20_240_601
 #: Edges of words kept built between texts, by each task: 24 bytes each, up to twice that while arrays grow.
 #: Beyond that, words that were met in one batch only are forgotten.
 KEPT_EDGES = 2_000_000
-#: Texts of so many characters together are encoded at once; a longer one is encoded alone.
-BATCH_CHARS = 400_000
+#: Texts of so many characters together are encoded at once; a longer one is encoded alone. Arrays of more would go back to the system at each step (see ensure_workers).
+BATCH_CHARS = 80_000
 #: Longer words are built character by character.
 LONG_WORD = 48
 UNIT = re.compile(r" *[^ \t\n\x0b\x0c]+| +|[\t\n\x0b\x0c]")
