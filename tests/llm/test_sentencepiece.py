@@ -112,3 +112,20 @@ def test_samples_do_not_depend_on_batches(vocabulary):
     whole = got(texts, keys)
     assert whole == [got([t], [k])[0] for t, k in zip(texts, keys, strict=True)]
     assert whole[::-1] == got(texts[::-1], keys[::-1])
+
+
+def test_trimmed_lattices_give_the_same_samples(monkeypatch, vocabulary):
+    texts = [f"the same words {n} again, and {n * n} new ones\nπ☃ {'long' * 13}{n}" for n in range(40)]
+
+    def sampled(kept):
+        monkeypatch.setattr(sp, "KEPT_EDGES", kept)
+        encoder, out = sp.Encoder(vocabulary), []
+        for n, t in enumerate(texts):
+            out += [(p.tolist(), s.log_prob, s.perturbed, s.log_inclusion) for p, s in encoder([t], [n], 3)[0]]
+        return out, encoder.lattices.nodes
+
+    whole, most = sampled(10**9)
+    for kept in (0, 400, 1500):
+        some, nodes = sampled(kept)
+        assert some == whole
+        assert nodes < most
