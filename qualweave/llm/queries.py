@@ -1,10 +1,25 @@
-"""Queries op1 to op10 and the pipeline, over whole tables with production parameters, and their SQL."""
+"""Queries op1 to op13 and the pipeline, over whole tables with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from qualweave.llm import exact_dedup, fingerprint, html_diff, mixing, near_dedup, secret_forest, sentencepiece_lattice, substring_chain, toxicity, url_trust
+from pyspark.sql import functions as F
+
+from qualweave.llm import (
+    exact_dedup,
+    fingerprint,
+    hard_negatives,
+    html_diff,
+    mixing,
+    near_dedup,
+    secret_forest,
+    segment_search,
+    sentencepiece_lattice,
+    substring_chain,
+    token_alignment,
+    toxicity,
+    url_trust,
+)
 from qualweave.session import ensure_workers, table
 
 
@@ -106,6 +121,59 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    return segment_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+_FINITE = "embedding is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))"
+
+OP11_SQL = f"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as x
+  from embeddings where vec_id is not null and {_FINITE}
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+), r as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    return token_alignment.link_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_workers(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+OP13_SQL = f"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x
+  from embeddings where vec_id is not null and label is not null and {_FINITE}
+), s as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.x, c.x) as bigint) as score
+  from v a join v c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same) where k <= 5
+), n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+         cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as int) as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same
+   and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_sentencepiece": op2_sentencepiece,
@@ -117,5 +185,8 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_fingerprints": op10_fingerprints,
+    "op11_segment_search": op11_segment_search,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL = {"op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
+SQL = {"op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL, "op11_segment_search": OP11_SQL, "op13_hard_negatives": OP13_SQL}
