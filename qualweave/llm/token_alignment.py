@@ -9,10 +9,6 @@ the text into groups, and the ranks of a token's start and end give the tokens o
 side that overlap it: links are the rank differences, never found by comparing tokens pairwise.
 All ends of a batch gallop together.
 
-Encoding. No token of either vocabulary crosses a lone space between two other characters (load
-checks it for B's pieces; A's splitting pattern ends a token there), so the stretches between
-such spaces are encoded once each and remembered; lists of ends are those of the whole text.
-
 Counts. How often an id pair is linked in the corpus: each batch of texts has its distinct
 pairs counted, Spark sums them, finds the highest count of each B id, and sends a batch the
 sums of its own pairs. A pair comes once from each batch, so no pair is hot; nothing is
@@ -31,8 +27,8 @@ import functools
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,9 +41,6 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the texts that are aligned together; a longer text is aligned alone.
 BATCH_CHARS = 3_000_000
-#: Stretches remembered by a task; beyond that all are forgotten. Longer ones aren't remembered.
-KEPT_STRETCHES, LONG_STRETCH = 400_000, 64
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 PAIR_BASE = 1 << 32
 
 
@@ -58,47 +51,78 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Fixed value: how a byte-level BPE splits text before it merges.
+BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Pair:
-    """Both tokenizers, the bytes of all their tokens, and the stretches that they have encoded."""
+    """Both tokenizers and the bytes of all their tokens."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True
+        a = Tokenizer.from_file(byte_bpe)
+        a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         alphabet = byte_alphabet()
-        entries = self.a.get_vocab(with_added_tokens=True)
+        entries = a.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             plain = all(c in alphabet for c in entry)
             self.a_bytes[i] = bytes(alphabet[c] for c in entry) if plain else entry.encode()
+        with open(byte_bpe, encoding="utf-8") as f:
+            model = json.load(f)
+        split = model.get("pre_tokenizer") or {}
+        by_bytes = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not model.get("normalizer")
+        ordered = by_bytes and self._merges_follow_ids(model["model"])
+        if ordered:
+            # The same merges in the same order, by a library that is four times faster.
+            import tiktoken
+
+            ranks = {self.a_bytes[i]: i for i in model["model"]["vocab"].values() if i not in {t["id"] for t in model.get("added_tokens", ())}}
+            plain = tiktoken.Encoding("byte_bpe", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.a_encode = lambda texts: [plain.encode_ordinary(t) for t in texts]
+        else:
+            self.a_encode = lambda texts: [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        by_stretch = not any(re.search("[^▁]▁", p) for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i)))
-        with open(byte_bpe, encoding="utf-8") as f:
-            split = json.load(f).get("pre_tokenizer") or {}
-        self.by_stretch = by_stretch and split.get("type") == "ByteLevel" and split.get("use_regex", True)
-        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
-
-    def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """A's ids, B's ids, and whether the bytes of both are those of the stretch with a space before it."""
-        new = [s for s in stretches if s not in self.known]
-        if len(self.known) + len(new) > KEPT_STRETCHES:
-            new, self.known = stretches, {}
-        fresh = {}
-        if new:
-            both = zip(new, self.a.encode_batch([" " + s for s in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True)
-            for s, a, b in both:
-                whole = (" " + s).encode()
-                same = b"".join([self.a_bytes[i] for i in a.ids]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
-                (self.known if len(s) <= LONG_STRETCH else fresh)[s] = (a.ids, b, same)
-        return [self.known.get(s) or fresh[s] for s in stretches]
-
-    def stretches(self, text: str) -> list[str]:
-        return LONE_SPACE.split(text) if self.by_stretch else [text]
+        self.tables = [(np.frombuffer(b"".join(t), np.uint8), np.cumsum([0, *map(len, t)])) for t in (self.a_bytes, self.b_bytes)]
+
+    @staticmethod
+    def _merges_follow_ids(model: dict) -> bool:
+        vocab = model["vocab"]
+        made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        return model.get("type") == "BPE" and not model.get("ignore_merges") and made == sorted(made)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, first of each text; ids of B, first of each text (firsts have one more than texts); none where bytes differ."""
+        spaced = [" " + t for t in texts]
+        raw = [t.encode() for t in spaced]
+        a, a_first, a_same = self._flat(0, self.a_encode(spaced), raw)
+        b, b_first, b_same = self._flat(1, self.b.encode(texts, num_threads=1), raw)
+        same = a_same & b_same
+        if not same.all():
+            (a, a_first), (b, b_first) = ((ids[np.repeat(same, np.diff(f))], np.concatenate([[0], np.cumsum(np.where(same, np.diff(f), 0))])) for ids, f in ((a, a_first), (b, b_first)))
+        return a, a_first, b, b_first
+
+    def _flat(self, side: int, ids: list[list[int]], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the first of each text, and whether its tokens' bytes are raw."""
+        letters, first = self.tables[side]
+        tokens = np.cumsum([0, *map(len, ids)])
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(tokens[-1]))
+        size = first[flat + 1] - first[flat]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        length, wanted = np.diff(upto[tokens]), np.array([len(r) for r in raw], np.int64)
+        good = length == wanted
+        got = letters[np.arange(upto[-1]) + np.repeat(first[flat] - upto[:-1], size)]
+        want = np.frombuffer(b"".join(raw), np.uint8)
+        if not good.all():
+            got, want = got[np.repeat(good, length)], want[np.repeat(good, wanted)]
+        owner = np.repeat(np.flatnonzero(good), length[good])
+        good[owner[got != want]] = False
+        return flat, tokens, good
 
 
 @functools.lru_cache(maxsize=2)
@@ -106,34 +130,12 @@ def load(byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> Pair:
     return Pair(byte_bpe, piece_bpe)
 
 
-class _Numbered(dict):
-    def __missing__(self, key: str) -> int:
-        self[key] = len(self)
-        return self[key]
-
-
 def encoded(pair: Pair, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of A, first of each text; ids of B, first of each text (offsets have one more than texts)."""
-    number, used, ends = _Numbered(), [], [0]
-    for text in texts:
-        if text:
-            used.extend(map(number.__getitem__, pair.stretches(text)))
-        ends.append(len(used))
-    used, ends = np.array(used, np.int64), np.array(ends)
-    known = pair.encode(list(number))
-    good = np.array([k[2] for k in known], bool)
-    bad = np.concatenate([[0], np.cumsum(~good[used])]) if len(used) else np.zeros(1, np.int64)
-    whole = bad[ends[1:]] == bad[ends[:-1]]
-    used = used[np.repeat(whole, np.diff(ends))]
-    ends = np.concatenate([[0], np.cumsum(np.where(whole, np.diff(ends), 0))])
-    out = []
-    for side in (0, 1):
-        size = np.array([len(k[side]) for k in known], np.int64)
-        flat = np.array([i for k in known for i in k[side]], np.int64)
-        first = np.concatenate([[0], np.cumsum(size)])
-        upto = np.concatenate([[0], np.cumsum(size[used])])
-        out += [flat[np.arange(upto[-1]) + np.repeat(first[used] - upto[:-1], size[used])], upto[ends]]
-    return tuple(out)
+    """Pair.encode, with no tokens for null and empty texts."""
+    there = np.array([bool(t) for t in texts], bool)
+    a, a_first, b, b_first = pair.encode([t for t in texts if t])
+    spread = lambda first: first[np.concatenate([[0], np.cumsum(there)])]
+    return a, spread(a_first), b, spread(b_first)
 
 
 def gallop(short: np.ndarray, long: np.ndarray, guess: np.ndarray) -> np.ndarray:

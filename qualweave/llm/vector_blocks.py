@@ -81,7 +81,13 @@ def met(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, work: Callable[
     """work(rows of a tile, its block) for each pair (tile, block); a task holds one tile and one block at a time."""
     left, right = pairs.join(queries, "tile"), pairs.join(blocks, "block")
     right = right.toDF(*right.columns)  # columns of its own, as both sides come from pairs
-    return left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(work, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def both(tile: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        # A pair can have no query left.
+        return work(tile, block) if len(tile) and len(block) else pd.DataFrame({c: [] for c in names})
+
+    return left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(both, schema)
 
 
 def numbered(headers: DataFrame, tiles: int) -> DataFrame:
