@@ -136,6 +136,77 @@ def test_recall_of_edited_passages(spark):
     assert recall[0.95] == 1.0 and recall[0.9] >= 0.95 and recall[0.85] >= 0.8, recall
 
 
+def edited(rng, words, rate):
+    """words with as many replaced as deleted as followed by an inserted one."""
+    out = []
+    for w in words:
+        kind = rng.randrange(3) if rng.random() < rate else None
+        out += [w] if kind is None else [] if kind == 1 else ([w] if kind == 2 else []) + [f"e{rng.randrange(10**9)}"]
+    return out
+
+
+def test_recall_with_deleted_and_inserted_words(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    cases = [(n, rate) for n in (60, 120, 400) for rate in (0.05, 0.1, 0.15)]
+    data, pairs = [], {}
+    for k, (n, rate) in enumerate(cases):
+        for i in range(40):
+            whole, at = text(n), 1000 * k + 2 * i
+            data += [(at, " ".join(text(60) + whole + text(9))), (at + 1, " ".join(text(5) + edited(rng, whole, rate) + text(70)))]
+            pairs[at + 1] = (at, n, rate)
+    got = {(r.doc_id, r.ref_id) for r in substring_chain.passages(docs(spark, data)).collect()}
+    assert got <= {(d, p[0]) for d, p in pairs.items()}
+    recall = {c: sum((d, p[0]) in got for d, p in pairs.items() if p[1:] == c) / 40 for c in cases}
+    assert all(v >= (0.7 if c == (60, 0.15) else 0.92) for c, v in recall.items()), recall
+
+
+def test_extension_over_edits():
+    a = np.arange(100, 160)
+    cases = [
+        (a, (60, 60, 60)),
+        (np.delete(a, 20), (60, 59, 59)),
+        (np.insert(a, 30, [1, 2]), (60, 62, 60)),
+        (np.concatenate([a[:10], [5, 6, 7], a[13:]]), (60, 60, 57)),
+        (np.concatenate([a[:20], np.arange(40)]), (20, 20, 20)),
+        (np.arange(5), (0, 0, 0)),
+        (a[:0], (0, 0, 0)),
+    ]
+    for b, wanted in cases:
+        assert substring_chain._extend(a, b) == wanted
+
+
+@pytest.mark.parametrize("pairs", [1, 2, 20])
+def test_tasks_with_passages_of_one_document(spark, pairs):
+    """Each task holds the passages of one document, or of none."""
+    rng = random.Random(22)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    data, wanted = [], []
+    for i in range(pairs):
+        shared = text(80)
+        data += [(2 * i, " ".join(text(30) + shared)), (2 * i + 1, " ".join(shared + text(30)))]
+        wanted.append((2 * i + 1, 2 * i, 0, 80))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = substring_chain.passages(docs(spark, data)).select("doc_id", "ref_id", "start_word", "n_words").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == wanted
+
+
+def test_passages_of_one_document_over_several_batches():
+    import pandas as pd
+
+    one = lambda ref, start: {"doc_id": 9, "ref_id": ref, "start_char": 0, "n_chars": 1, "start_word": start, "n_words": 60, "ref_start_word": 0, "ref_n_words": 60, "identity": 1.0}
+    batches = [pd.DataFrame([one(1, 0)]), pd.DataFrame([one(2, 0), one(2, 100)]), pd.DataFrame([one(1, 200)])]
+    got = pd.concat(list(substring_chain._first_references(iter(batches))))
+    assert sorted(zip(got["ref_id"], got["start_word"], strict=True)) == [(1, 0), (1, 200), (2, 100)]
+    assert list(substring_chain._first_references(iter([]))) == []
+
+
 def test_periodic_long_and_repeated_rows(spark):
     rng = random.Random(13)
     text = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
