@@ -31,6 +31,8 @@ from qualweave.llm.graphs import free
 TABLE_BYTES = 64 << 20
 FIRST_BITS, MORE_BITS, LEVELS = 12, 6, 8
 LISTED_BUCKETS = 10_000
+#: What a held row is taken to need besides its text.
+ROW_BYTES = 200
 
 
 class ContentTable:
@@ -84,6 +86,53 @@ def _hash(content: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(content, digest_size=7).digest(), "little")
 
 
+class _Held:
+    """The winning row of each entry. Rows come together in copies of their own; a copy that is half replaced is made anew."""
+
+    def __init__(self) -> None:
+        self.place: dict[int, tuple[int, int]] = {}  # entry: chunk, bytes
+        self.chunks: dict[int, tuple[pa.RecordBatch, list[int]]] = {}
+        self.live: dict[int, int] = {}
+        self.full: dict[int, int] = {}
+        self.next = self.bytes = 0
+
+    def put(self, source: pa.RecordBatch, rows: dict[int, int], size: dict[int, int]) -> None:
+        """rows: the place of each entry's new row in source."""
+        for chunk in {self._drop(e) for e in rows if e in self.place}:
+            if not self.live[chunk]:
+                self._forget(chunk)
+            elif self.live[chunk] < self.full[chunk] / 2:
+                batch, entries = self._forget(chunk)
+                left = {e: k for k, e in enumerate(entries) if self.place.get(e, (None,))[0] == chunk}
+                self._keep(batch, left, {e: self.place[e][1] for e in left})
+        self._keep(source, rows, size)
+
+    def _drop(self, entry: int) -> int:
+        chunk, size = self.place.pop(entry)
+        self.live[chunk] -= size
+        return chunk
+
+    def _forget(self, chunk: int) -> tuple[pa.RecordBatch, list[int]]:
+        self.bytes -= self.full.pop(chunk)
+        del self.live[chunk]
+        return self.chunks.pop(chunk)
+
+    def _keep(self, source: pa.RecordBatch, rows: dict[int, int], size: dict[int, int]) -> None:
+        chunk, self.next = self.next, self.next + 1
+        self.chunks[chunk] = source.take(pa.array(list(rows.values()), pa.int64())), list(rows)
+        self.live[chunk] = self.full[chunk] = sum(size.values())
+        self.bytes += self.full[chunk]
+        for e in rows:
+            self.place[e] = chunk, size[e]
+
+    def batches(self) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+        """All held rows, and their entries."""
+        for chunk, (batch, entries) in self.chunks.items():
+            at = [k for k, e in enumerate(entries) if self.place.get(e, (None,))[0] == chunk]
+            if at:
+                yield batch.take(pa.array(at, pa.int64())), [entries[k] for k in at]
+
+
 class _Reducer:
     """Streams Arrow batches through tables; yields the winning row of each content."""
 
@@ -91,17 +140,12 @@ class _Reducer:
         self.text, self.limit, self.counted = text, limit, counted
         self.leaf, self.rank, self.rows = names
 
-    def _drain(self, table: ContentTable, held: dict[int, tuple[int, int]], batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_batch: dict[int, list[tuple[int, int]]] = {}
-        for entry, (b, row) in held.items():
-            by_batch.setdefault(b, []).append((row, entry))
-        for b, picks in by_batch.items():
-            rows = [r for r, _ in picks]
-            out = batches[b].take(pa.array(rows, pa.int64()))
-            yield out.set_column(out.schema.get_field_index(self.rows), self.rows, pa.array([table.rows[e] for _, e in picks], pa.int64()))
+    def _drain(self, table: ContentTable, held: _Held) -> Iterator[pa.RecordBatch]:
+        for batch, entries in held.batches():
+            yield batch.set_column(batch.schema.get_field_index(self.rows), self.rows, pa.array([table.rows[e] for e in entries], pa.int64()))
 
     def __call__(self, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, batches, size, leaf = ContentTable(), {}, [], 0, None
+        table, held, leaf = ContentTable(), _Held(), None
         for whole in source:
             names = whole.schema.names
             leaves = whole.column(names.index(self.leaf)).to_pylist()
@@ -110,26 +154,24 @@ class _Reducer:
                 stop = start + 1
                 while stop < len(leaves) and (not self.counted or leaves[stop] == leaves[start]):
                     stop += 1
-                if (self.counted and leaves[start] != leaf) or (not self.counted and size > self.limit):
-                    yield from self._drain(table, held, batches)
-                    table, held, batches, size = ContentTable(), {}, [], 0
+                if (self.counted and leaves[start] != leaf) or (not self.counted and held.bytes > self.limit):
+                    yield from self._drain(table, held)
+                    table, held = ContentTable(), _Held()
                 leaf = leaves[start]
                 part = whole.slice(start, stop - start)
                 texts = part.column(names.index(self.text)).to_pylist()
                 ranks = part.column(names.index(self.rank)).to_pylist()
                 counts = part.column(names.index(self.rows)).to_pylist()
-                fresh = False
+                winners = {}
                 for i, t in enumerate(texts):
                     content = (t or "").encode("utf-8", "surrogatepass")
                     entry, wins = table.add(_hash(content), content, ranks[i] if ranks[i] is not None else -(1 << 63), counts[i])
                     if wins:
-                        held[entry] = (len(batches), i)
-                        fresh = True
-                if fresh:
-                    batches.append(part)
-                    size += part.nbytes
+                        winners[entry] = i
+                if winners:
+                    held.put(part, winners, {e: len(table.contents[e]) + ROW_BYTES for e in winners})
                 start = stop
-        yield from self._drain(table, held, batches)
+        yield from self._drain(table, held)
 
 
 def _leaves(docs: DataFrame, text: str, table_bytes: int):

@@ -274,3 +274,36 @@ def test_scores_match_a_plain_model():
         x[f] = ratio[f]
         x /= np.sqrt(np.linalg.norm(x))
         assert abs(1 / (1 + np.exp(-(x @ model.weight + model.bias))) - toxicity.score(model, features, t)) < 1e-4
+
+
+def test_tables_hold_winning_rows_and_not_their_batches():
+    """One long text whose id rises row by row, beside short texts that stay."""
+    import pyarrow as pa
+
+    long, limit = "x" * 500_000, 16 << 20
+    names = ("leaf", "rank", "rows")
+
+    def source():
+        for b in range(60):
+            texts = [t for k in range(10) for t in (long, f"short {b} {k}")]
+            yield pa.RecordBatch.from_pydict({"text": texts, "leaf": ["a"] * 20, "rank": pa.array(range(20 * b, 20 * b + 20), pa.int64()), "rows": pa.array([1] * 20, pa.int64())})
+
+    for counted in (False, True):
+        pool = pa.default_memory_pool()
+        before, most, out = pool.bytes_allocated(), 0, []
+
+        def watched():
+            nonlocal most
+            for batch in source():
+                yield batch
+                most = max(most, pool.bytes_allocated() - before)
+
+        for batch in exact_dedup._Reducer("text", names, limit, counted)(watched()):
+            out += batch.to_pylist()
+        assert most < 2 * limit + 20 * len(long)
+        whole = {}
+        for row in out:
+            rank, rows = whole.get(row["text"], (-1, 0))
+            whole[row["text"]] = max(rank, row["rank"]), rows + row["rows"]
+        assert len(whole) == 601 and whole[long] == (1198, 600)
+        assert all(rows == 1 for text, (_, rows) in whole.items() if text != long)
