@@ -12,7 +12,7 @@ from qualweave.functions import predictor, symbols
 from qualweave.operators import history, metrics, sampler, scores, sinks, split
 from qualweave.plans.oracle import TEST, sql
 from qualweave.sources import manifest as manifests
-from qualweave.sources.views import VIEWS, Sequences, predictors
+from qualweave.sources.views import VIEWS, Sequences, flat, predictors
 from qualweave.session import ensure_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,22 +76,73 @@ def reads_from_offsets(view):
     return manifests.lengths(o.select("file", F.col("read_id").alias("idx"), F.col("row_start").alias("row")).unionByName(ends))
 
 
+def boundaries(view: Sequences) -> DataFrame:
+    """file, idx, row: the start of each read, counted from 0, and the end of the last."""
+    o = manifests.offsets(view.reads)
+    first = view.reads.groupBy("file").agg(F.min("read_id").alias("first"), F.count("*").alias("n"), F.sum("length").cast("long").alias("row"))
+    starts = o.join(F.broadcast(first.select("file", "first")), "file").select("file", (F.col("read_id") - F.col("first")).alias("idx"), F.col("row_start").alias("row"))
+    return starts.unionByName(first.select("file", F.col("n").alias("idx"), "row"))
+
+
+#: The boundaries with every 700th moved, for another engine.
+GIVEN = """, starts as (select file, read_id - min(read_id) over (partition by file) as idx, sum(length) over (partition by file order by read_id) - length as "row" from reads
+union all select file, count(*), sum(length) from reads group by file), given as (select file, idx, "row" + case when idx % 700 = 5 then 50 else 0 end as "row" from starts)"""
+
+
 @on(
     ("orders",),
     "validation_report",
-    """, bad as (select read_id, pos, case when read_id % 1000 = 1 and pos = 0 then -1 when read_id % 1000 = 2 and pos = 0 then 95 else observed end as observed
+    f"""{GIVEN}, bad as (select read_id, pos, case when read_id % 1000 = 1 and pos = 0 then -1 when read_id % 1000 = 2 and pos = 0 then 95 else observed end as observed
   from pos where not (read_id % 500 = 3 and pos = 0)), g as (select read_id, count(*) as n, max(pos) as top from bad group by read_id)
 select 'observed_range' as "check", count(*) as violations from bad where observed not between 0 and 94
 union all select 'negative_length', count(*) from reads where length < 0
 union all select 'row_alignment', count(*) from reads full join g using (read_id) where coalesce(length, -1) <> coalesce(n, 0)
 union all select 'dense_positions', count(*) from g where top <> n - 1
 union all select 'all_reads_empty', count(*) from (select max(length) as m from reads) where m <= 0
-union all select 'alphabet_width', count(*) from (select 1 where false)""",
+union all select 'alphabet_width', count(*) from (select 1 where false)
+union all select 'boundary_places', 0
+union all select 'too_few_boundaries', count(*) from (select count(*) as n from given) where n < 2
+union all select 'first_boundary', count(*) from (select min_by("row", idx) as f from given) where f <> 0
+union all select 'falling_boundaries', count(*) from (select "row", lag("row") over (order by idx) as before from given) where before > "row"
+union all select 'last_boundary', count(*) from (select max_by("row", idx) as l from given) where l <> (select count(*) from bad)""",
 )
 def validation_report(view):
+    """Faults are put in: ids beyond the alphabet, rows left out, and boundaries moved, which then fall and miss the number of rows."""
     first, k = F.col("pos") == 0, F.col("read_id") % 1000
     bad = view.positions.withColumn("observed", F.when((k == 1) & first, -1).when((k == 2) & first, 95).otherwise(F.col("observed"))).where(~((F.col("read_id") % 500 == 3) & first))
-    return manifests.violations(view.reads, bad, predictors(view))
+    given = boundaries(view).withColumn("row", F.col("row") + F.when(F.col("idx") % 700 == 5, 50).otherwise(0))
+    return manifests.violations(view.reads, bad, predictors(view), given)
+
+
+@on(
+    ("orders",),
+    "boundary_report",
+    f"""{GIVEN}, f as (select file, "row", idx, lag("row") over (partition by file order by idx) as before from given)
+select file, cast(0 as bigint) as boundary_places, cast(count(*) < 2 as bigint) as too_few_boundaries, cast(min_by("row", idx) <> 0 as bigint) as first_boundary,
+  cast(sum(case when before > "row" then 1 else 0 end) as bigint) as falling_boundaries,
+  cast(max_by("row", idx) <> (select sum(length) from reads) as bigint) as last_boundary from f group by file""",
+)
+def boundary_report(view):
+    given = boundaries(view).withColumn("row", F.col("row") + F.when(F.col("idx") % 700 == 5, 50).otherwise(0))
+    return manifests.boundary_faults(given, view.reads.groupBy("file").agg(F.sum("length").alias("rows")))
+
+
+@on(
+    ("orders",),
+    "flat_rows",
+    """select file, read_id, cast(count(*) as bigint) as symbols, cast(sum((pos + 1) * (observed + 1)) as bigint) as digest, min(pred_key) as first_key
+from pos group by file, read_id""",
+)
+def flat_rows(view):
+    """The reads again from flat rows and boundaries."""
+    starts = manifests.offsets(view.reads)
+    rows = view.positions.join(starts.select("file", "read_id", "row_start"), ["file", "read_id"]).select("file", (F.col("row_start") + F.col("pos")).alias("row"), "observed", "pred_key")
+    again = flat(rows, boundaries(view)).positions
+    # Boundaries count reads from 0; ids of the view come back by rank, a join by place.
+    ids = starts.select("file", "read_id", "row_start").where("row_stop > row_start")
+    found = again.groupBy("file", F.col("read_id").alias("idx")).agg(F.count("*").alias("symbols"), F.sum((F.col("pos") + 1) * (F.col("observed") + 1)).cast("long").alias("digest"), F.min("pred_key").alias("first_key"))
+    named = boundaries(view).join(ids.withColumnRenamed("row_start", "row"), ["file", "row"]).groupBy("file", "read_id").agg(F.max("idx").alias("idx"))
+    return found.join(named, ["file", "idx"]).select("file", "read_id", "symbols", "digest", "first_key")
 
 
 @on(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualweave.constants import ALPHABET, MAX_ID
@@ -46,46 +46,96 @@ def lengths(boundaries: DataFrame) -> DataFrame:
     return boundaries.join(stops, ["file", "idx"]).select("file", F.col("idx").alias("read_id"), (F.col("stop") - F.col("row")).cast("int").alias("length"))
 
 
+#: Rules of given boundaries, as their faults are named.
+BOUNDARY_CHECKS = {
+    "boundary_places": "places don't count from 0 without a gap",
+    "too_few_boundaries": "fewer than two boundaries",
+    "first_boundary": "the first isn't 0",
+    "falling_boundaries": "they fall",
+    "last_boundary": "the last isn't the number of rows",
+}
+
+
+def boundary_faults(boundaries: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row for each file with a column for each of BOUNDARY_CHECKS: how often it is broken.
+
+    boundaries: file, idx, row. rows: file, rows. Falls are found within blocks of neighbours,
+    and from the last boundary of a block to the first of the next: blocks carry their edges,
+    so no file's boundaries meet in one task, and they aren't joined with themselves.
+    """
+    within = Window.partitionBy("file", "block").orderBy("idx", "row")
+    inner = boundaries.withColumn("block", F.floor(F.col("idx") / BLOCK)).withColumn("fell", (F.lag("row").over(within) > F.col("row")).cast("long"))
+    edges = inner.groupBy("file", "block").agg(
+        F.count("*").alias("n"), F.count_distinct("idx").alias("places"), F.min("idx").alias("low"), F.max("idx").alias("high"), F.sum("fell").alias("falls"),
+        F.min(F.struct("idx", "row"))["row"].alias("head"), F.max(F.struct("idx", "row"))["row"].alias("tail"),
+    )
+    carried = F.lag("tail").over(Window.partitionBy("file").orderBy("block"))
+    files = edges.withColumn("falls", F.coalesce("falls", F.lit(0)) + F.coalesce((carried > F.col("head")).cast("long"), F.lit(0))).groupBy("file").agg(
+        F.sum("n").alias("n"), F.sum("places").alias("places"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("falls").alias("falls"),
+        F.min_by("head", "block").alias("first"), F.max_by("tail", "block").alias("last"),
+    )
+    broken = {
+        "boundary_places": F.col("n").isNotNull() & ((F.col("low") != 0) | (F.col("n") != F.col("high") + 1) | (F.col("n") != F.col("places"))),
+        "too_few_boundaries": F.coalesce("n", F.lit(0)) < 2,
+        "first_boundary": ~F.col("first").eqNullSafe(F.lit(0)),
+        "last_boundary": ~F.col("last").eqNullSafe(F.col("rows")),
+    }
+    falls = F.coalesce("falls", F.lit(0)).cast("long").alias("falling_boundaries")
+    return files.join(rows, "file", "full").select("file", *[falls if c == "falling_boundaries" else broken[c].cast("long").alias(c) for c in BOUNDARY_CHECKS])
+
+
 def require_boundaries(boundaries: DataFrame, rows: DataFrame) -> None:
     """Raises SequenceError unless each file's boundaries (file, idx, row) are two at least, start at 0, never fall and end at its rows (file, rows)."""
-    ends = boundaries.groupBy("file").agg(F.count("*").alias("n"), F.min_by("row", "idx").alias("first"), F.max_by("row", "idx").alias("last"))
-    falls = lengths(boundaries).where("length < 0").groupBy("file").agg(F.count("*").alias("falls"))
-    broken = []
-    for r in ends.join(falls, "file", "left").join(rows, "file", "full").collect():
-        rules = (("fewer than two boundaries", (r.n or 0) < 2), ("the first isn't 0", r["first"] != 0), ("they fall", bool(r.falls)), ("the last isn't the number of rows", r["last"] != r["rows"]))
-        broken += [f"{r.file}: {what}" for what, wrong in rules if wrong]
+    faulty = boundary_faults(boundaries, rows).where(" or ".join(f"{c} > 0" for c in BOUNDARY_CHECKS))
+    # Only broken files come to the driver, and of those as many as a message can name.
+    broken = [f"{r.file}: {what}" for r in faulty.orderBy("file").limit(NAMED_FILES).collect() for c, what in BOUNDARY_CHECKS.items() if r[c]]
     if broken:
-        raise SequenceError("; ".join(sorted(broken)))
+        raise SequenceError("; ".join(broken))
+
+
+#: Files that an error names at most.
+NAMED_FILES = 20
 
 
-def violations(reads: DataFrame, positions: DataFrame, freqs: DataFrame | None = None) -> DataFrame:
-    """check, violations: how often each rule is broken; all rules are listed."""
+def _stacked(totals: DataFrame, checks: list[str]) -> DataFrame:
+    """check, violations from one row with a column for each check."""
+    rows = F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("violations")) for c in checks])
+    return totals.select(F.inline(rows))
 
-    def counted(df: DataFrame, name: str, broken: Column) -> DataFrame:
-        return df.agg(F.coalesce(F.sum(broken.cast("long")), F.lit(0)).cast("long").alias("violations")).select(F.lit(name).alias("check"), "violations")
 
-    stored = positions.groupBy("file", "read_id").agg(F.count("*").alias("n"), F.max("pos").alias("top"))
-    both = reads.join(stored, ["file", "read_id"], "full")
-    checks = [
-        counted(positions, "observed_range", ~F.coalesce(F.col("observed").between(0, MAX_ID), F.lit(False))),
-        counted(reads, "negative_length", F.col("length") < 0),
-        counted(both, "row_alignment", F.coalesce("length", F.lit(-1)) != F.coalesce("n", F.lit(0))),
-        counted(both, "dense_positions", F.col("n").isNotNull() & (F.col("top") != F.col("n") - 1)),
-        counted(reads.groupBy("file").agg(F.max("length").alias("m")), "all_reads_empty", F.col("m") <= 0),
-    ]
+def violations(reads: DataFrame, positions: DataFrame, freqs: DataFrame | None = None, boundaries: DataFrame | None = None) -> DataFrame:
+    """check, violations: how often each rule is broken; all rules are listed.
+
+    Positions and reads are each scanned once: counts of a read's positions are joined with
+    its length, summed by file, and then over files. boundaries: file, idx, row.
+    """
+    bad = ~F.coalesce(F.col("observed").between(0, MAX_ID), F.lit(False))
+    stored = positions.groupBy("file", "read_id").agg(F.count("*").alias("n"), F.max("pos").alias("top"), F.sum(bad.cast("long")).alias("bad"))
+    both = reads.select("file", "read_id", "length").join(stored, ["file", "read_id"], "full")
+    count = lambda broken: F.sum(F.coalesce(broken, F.lit(False)).cast("long"))
+    files = both.groupBy("file").agg(
+        F.sum("bad").alias("observed_range"),
+        count(F.col("length") < 0).alias("negative_length"),
+        count(F.coalesce("length", F.lit(-1)) != F.coalesce("n", F.lit(0))).alias("row_alignment"),
+        count(F.col("n").isNotNull() & (F.col("top") != F.col("n") - 1)).alias("dense_positions"),
+        F.max("length").alias("longest"),
+    )
+    checks = ["observed_range", "negative_length", "row_alignment", "dense_positions"]
+    out = _stacked(files.agg(*[F.sum(c).alias(c) for c in checks], count(F.col("longest") <= 0).alias("all_reads_empty")), [*checks, "all_reads_empty"])
     if freqs is not None:
-        checks.append(counted(freqs, "alphabet_width", F.size("freqs") != ALPHABET))
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.union(c)
+        out = out.unionByName(_stacked(freqs.agg(count(F.size("freqs") != ALPHABET).alias("alphabet_width")), ["alphabet_width"]))
+    if boundaries is not None:
+        rows = positions.groupBy("file").agg(F.count("*").alias("rows"))
+        faults = boundary_faults(boundaries, rows).agg(*[F.sum(c).alias(c) for c in BOUNDARY_CHECKS])
+        out = out.unionByName(_stacked(faults, list(BOUNDARY_CHECKS)))
     return out
 
 
-def require_valid(reads: DataFrame, positions: DataFrame, freqs: DataFrame | None = None) -> None:
+def require_valid(reads: DataFrame, positions: DataFrame, freqs: DataFrame | None = None, boundaries: DataFrame | None = None) -> None:
     """Raises SequenceError naming each broken rule."""
     for name, df, needed in (("reads", reads, {"file", "read_id", "length"}), ("positions", positions, {"file", "read_id", "pos", "observed"})):
         if missing := needed - set(df.columns):
             raise SequenceError(f"{name} lacks {', '.join(sorted(missing))}")
-    broken = [f"{r.check}: {r.violations}" for r in violations(reads, positions, freqs).where("violations > 0").collect()]
+    broken = [f"{r.check}: {r.violations}" for r in violations(reads, positions, freqs, boundaries).where("violations > 0").collect()]
     if broken:
         raise SequenceError("; ".join(broken))

@@ -15,12 +15,29 @@ from pyspark.sql import functions as F
 from qualweave.constants import ALPHABET, TRAIN_FRACTION
 from qualweave.operators.split import train_reads
 from qualweave.session import table
+from qualweave.sources import manifest
 
 
 @dataclass
 class Sequences:
     reads: DataFrame
     positions: DataFrame
+    #: file, idx, row: where reads begin in rows that were given flat, if they were.
+    boundaries: DataFrame | None = None
+
+
+def flat(rows: DataFrame, boundaries: DataFrame) -> Sequences:
+    """Reads of flat rows (file, row, observed, pred_key) that boundaries (file, idx, row) part: read idx has the rows from its boundary up to the next.
+
+    Boundaries are checked before anything is derived from them. Rows find their read by an
+    equi-join on their place, so a long file is dealt out like many short ones.
+    """
+    manifest.require_boundaries(boundaries, rows.groupBy("file").agg(F.count("*").alias("rows")))
+    reads = manifest.lengths(boundaries)
+    starts = reads.where("length > 0").join(boundaries.select("file", F.col("idx").alias("read_id"), F.col("row").alias("start")), ["file", "read_id"])
+    placed = starts.select("file", "read_id", "start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos")).withColumn("row", F.col("start") + F.col("pos"))
+    positions = rows.join(placed, ["file", "row"]).select("file", "read_id", "pos", "observed", "pred_key")
+    return Sequences(reads, positions, boundaries)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Sequences:
