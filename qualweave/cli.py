@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import re
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qualweave import progress
 from qualweave.constants import CONTEXT, Q_KS, R_KS, SEED, STRIDE, TRAIN_FRACTION, VOCAB
 from qualweave.functions.predictor import described
-from qualweave.functions.symbols import parse_ks, six
+from qualweave.errors import SequenceError
+from qualweave.functions.symbols import INVARIANTS, parse_ks, six
 from qualweave.operators import metrics, sinks, split
 from qualweave.plans import infer, network, packing, training
 from qualweave.session import ensure_workers
@@ -27,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     shared = argparse.ArgumentParser(add_help=False)
     shared.add_argument("--data", required=True, help="folder of the Parquet tables")
     shared.add_argument("--view", choices=sorted(VIEWS), default="events")
+    shared.add_argument("--no-progress", action="store_true")
     shared.add_argument("--train-fraction", type=float, default=TRAIN_FRACTION)
     t = commands.add_parser("train", parents=[shared])
     t.add_argument("--output-dir", default=RUNS)
@@ -56,7 +61,7 @@ def _train(spark: SparkSession, a: argparse.Namespace) -> None:
     config = network.Config(a.q_hat_embed_dim, a.prev_q_embed_dim, a.prev_r_embed_dim, a.qmer_ks, a.rmer_ks, a.qmer_vocab_size, a.rmer_vocab_size, a.qmer_embed_dim, a.rmer_embed_dim, a.d_model, a.num_heads, a.num_layers, a.feedforward_dim, a.context_length, a.mer_stride)
     sinks.save_json(vars(a) | {"model_type": "transformer_residual", "uses_qr_mer": bool(a.qmer_ks or a.rmer_ks)}, Path(a.output_dir) / "config.json")
     view = VIEWS[a.view](spark, a.data)
-    manifest.require_valid(view.reads, view.positions)
+    manifest.require_valid(view.reads, view.positions, boundaries=view.boundaries)
     path, whole = Path(a.output_dir) / "train_log.csv", {"epoch", "val_total_symbols", "val_zero_true_freq"}
     path.write_text("", encoding="utf-8")
 
@@ -68,7 +73,8 @@ def _train(spark: SparkSession, a: argparse.Namespace) -> None:
         gain = "no baseline" if row["val_relative_improvement"] is None else f"improvement {row['val_relative_improvement']:.4%}"
         print(f"epoch {row['epoch']}: train {six(row['train_bits_per_quality'])} bits, validation {six(row['val_model_avg_bits_per_quality'])} bits, {gain}", flush=True)
 
-    training.train(view, a.output_dir, config, a.epochs, a.steps_per_epoch, a.batch_reads, a.eval_max_reads_per_file or None, a.train_fraction, a.lr, a.weight_decay, a.grad_clip, a.seed, a.save_every_epoch, report)
+    with progress.shown(spark, "train", not a.no_progress):
+        training.train(view, a.output_dir, config, a.epochs, a.steps_per_epoch, a.batch_reads, a.eval_max_reads_per_file or None, a.train_fraction, a.lr, a.weight_decay, a.grad_clip, a.seed, a.save_every_epoch, report)
     print(f"wrote {path}")
 
 
@@ -76,25 +82,28 @@ def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.max_reads_per_file is not None and a.max_reads_per_file <= 0:
         raise SystemExit("--max-reads-per-file must be positive")
     view = VIEWS[a.view](spark, a.data)
-    manifest.require_valid(view.reads, view.positions)
     config, parameters, _ = network.load(a.checkpoint)
     vectors = described(predictors(view, a.train_fraction))
 
-    def scored(most: int | None):
-        return infer.score(packing.packed(view, vectors, config, split.bounds(view.reads, a.split, a.train_fraction, most)), config, parameters)
+    def scored(ranges: DataFrame) -> DataFrame:
+        return infer.score(packing.packed(view, vectors, config, ranges), config, parameters)
 
-    table = metrics.require_symbols(metrics.compression(scored(a.max_reads_per_file))).orderBy("file")
-    for r in table.collect():
+    table = metrics.compression(scored(split.bounds(view.reads, a.split, a.train_fraction, a.max_reads_per_file)))
+    with progress.shown(spark, "predict", not a.no_progress):
+        rows = sorted(metrics.require_symbols(table), key=lambda r: r.file)
+    for r in rows:
         print(f"{r.file}: {r.total_symbols} symbols, {six(r.model_avg_bits_per_quality)} bits, baseline {six(r.h5_baseline_avg_bits_per_quality)} bits")
-    sinks.write_csv(table.select(*[F.col(c) if kind in ("string", "bigint") else sinks.decimals(F.col(c)).alias(c) for c, kind in table.dtypes]), a.output_csv)
+    kept = spark.createDataFrame(rows, table.schema).orderBy("file")
+    sinks.write_csv(kept.select(*[F.col(c) if kind in ("string", "bigint") else sinks.decimals(F.col(c)).alias(c) for c, kind in table.dtypes]), a.output_csv)
     print(f"wrote {a.output_csv}")
     if a.sample_predictions:
         first = view.reads.agg(F.min("file")).first()[0]
-        reads = split.within(view.reads.where(F.col("file") == first), split.bounds(view.reads.where(F.col("file") == first), a.split, a.train_fraction, a.sample_reads))
-        sinks.write_csv(sinks.sample_rows(scored(a.sample_reads), reads).orderBy("read_in_sample", "position_in_read"), a.sample_predictions)
+        ranges = split.bounds(view.reads.where(F.col("file") == first), a.split, a.train_fraction, a.sample_reads)
+        sinks.write_csv(sinks.sample_rows(scored(ranges), split.within(view.reads, ranges)).orderBy("read_in_sample", "position_in_read"), a.sample_predictions)
         print(f"wrote {a.sample_predictions}")
     if a.quality_prob_log and not a.no_quality_prob_log:
-        rows = sinks.first_rows(scored(None), a.quality_prob_log_rows, ["file", "read_id", "pos"])
+        part = split.within(view.reads, split.bounds(view.reads, a.split, a.train_fraction))
+        rows = sinks.first_rows(scored(split.head(part, a.quality_prob_log_rows)), a.quality_prob_log_rows, ["file", "read_id", "pos"])
         sinks.write_text(sinks.compact_lines(rows).orderBy("file", "read_id", "pos"), a.quality_prob_log)
         print(f"wrote {a.quality_prob_log}")
 
@@ -105,7 +114,14 @@ def main(argv: Sequence[str] | None = None) -> None:
         raise SystemExit("--train-fraction must be in (0, 1)")
     spark = SparkSession.builder.appName("qualweave").getOrCreate()
     ensure_workers(spark)
-    (_train if a.command == "train" else _predict)(spark, a)
+    try:
+        (_train if a.command == "train" else _predict)(spark, a)
+    except PySparkException as error:
+        # Rules that hold within the plan are named at the start of their errors.
+        broken = re.search(rf"\b({'|'.join(INVARIANTS)}): [^\n]*", str(error))
+        if broken is None:
+            raise
+        raise SequenceError(broken.group()) from error
 
 
 if __name__ == "__main__":

@@ -14,6 +14,24 @@ from qualweave.errors import SequenceError
 QUALITY_BOUNDS = (9, 19, 24, 29, 34, 39)
 
 
+#: Rules that expressions check as they are evaluated; their errors begin with these names.
+INVARIANTS = ("observed_range", "residual_class", "row_alignment", "alphabet_width")
+
+
+def checked(value: Column, ok: Column, rule: str, kind: str) -> Column:
+    """value where ok, else an error that names the rule and the value: a run checks what it reads, without a scan of its own."""
+    message = F.concat(F.lit(f"{rule}: "), F.coalesce(value.cast("string"), F.lit("null")))
+    return F.when(ok, value).otherwise(F.raise_error(message).cast(kind))
+
+
+def checked_id(observed: Column) -> Column:
+    return checked(observed, observed.between(0, MAX_ID), "observed_range", "int")
+
+
+def checked_class(target_: Column) -> Column:
+    return checked(target_, target_.between(0, CLASSES - 1), "residual_class", "int")
+
+
 def residual(observed: Column, q_hat: Column) -> Column:
     return observed - q_hat
 

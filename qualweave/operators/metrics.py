@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from qualweave.errors import NoReads
@@ -26,10 +26,12 @@ def compression(df: DataFrame, by_file: bool = True) -> DataFrame:
     return out.select(*groups, "total_symbols", "model_total_bits", model, "h5_baseline_total_bits", base, (model - base).alias("delta_bits"), F.try_divide(base - model, base).alias("relative_improvement"), "zero_true_freq")
 
 
-def require_symbols(metrics: DataFrame) -> DataFrame:
-    if metrics.isEmpty():
+def require_symbols(metrics: DataFrame) -> list[Row]:
+    """The rows, one a file or one for all, from one run of what they are made of."""
+    rows = metrics.collect()
+    if not rows:
         raise NoReads("evaluation split produced zero symbols")
-    return metrics
+    return rows
 
 
 def epoch_average(steps: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from qualweave.constants import ALPHABET, EPS
 from qualweave.functions import predictor, symbols
+from qualweave.operators.split import counted
 from qualweave.sources.views import Sequences, predictors
 
 #: The masked logit, as in the model.
@@ -21,13 +22,14 @@ MASKED = -1e9
 def features(view: Sequences, described: DataFrame | None = None, fraction: float | None = None) -> DataFrame:
     """Positions with q_hat, max_prob, entropy, expected_q, p_true, true_freq, residual and target.
 
-    described: predictor.described(...), small: one row for each distinct vector.
+    described: predictor.described(...), one row for each distinct vector; broadcast if a count finds few.
+    An id outside the alphabet, or a class outside its range, is an error where it is read.
     """
     if described is None:
         described = predictor.described(predictors(view, fraction) if fraction else predictors(view))
-    joined = view.positions.join(described.drop("total"), ["file", "pred_key"], "left")
+    joined = view.positions.withColumn("observed", symbols.checked_id(F.col("observed"))).join(counted(described.drop("total")), ["file", "pred_key"], "left")
     out = joined.withColumns({"p_true": F.get("probs", "observed"), "true_freq": F.get("freqs", "observed"), "residual": symbols.residual(F.col("observed"), F.col("q_hat"))})
-    return out.withColumn("target", symbols.target(F.col("residual")))
+    return out.withColumn("target", symbols.checked_class(symbols.target(F.col("residual"))))
 
 
 def uniform(df: DataFrame) -> DataFrame:

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from qualweave.constants import TRAIN_FRACTION
 from qualweave.errors import SequenceError
+from qualweave.sources import manifest
+
+
+#: At most so many rows are broadcast by counted(); one row a file or a predictor vector.
+BROADCAST_ROWS = 20_000
+
+
+def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has few rows, which are counted first; larger ones are joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def split_count(n: int, fraction: float = TRAIN_FRACTION) -> int:
@@ -47,13 +57,26 @@ def within(df: DataFrame, ranges: DataFrame) -> DataFrame:
     if len(few) > LITERAL_FILES:
         ends = ranges.agg(F.min("start").alias("start"), F.max("stop").alias("stop")).first()
         some = df.where((F.col("read_id") >= ends.start) & (F.col("read_id") < ends.stop))
-        return some.join(ranges, "file").where((F.col("read_id") >= F.col("start")) & (F.col("read_id") < F.col("stop"))).drop("start", "stop")
+        ranges = ranges.select("file", "start", "stop")
+        return some.join(counted(ranges), "file").where((F.col("read_id") >= F.col("start")) & (F.col("read_id") < F.col("stop"))).drop("start", "stop")
     chosen = F.lit(False)
     for r in few:
         chosen = chosen | ((F.col("file") == r.file) & (F.col("read_id") >= r.start) & (F.col("read_id") < r.stop))
     return df.where(chosen & (F.col("read_id") >= min(r.start for r in few)) & (F.col("read_id") < max(r.stop for r in few)))
 
 
+def head(reads: DataFrame, n: int) -> DataFrame:
+    """file, start, stop, rows: the reads that hold the first n symbols in order of file and read, and how many symbols each file gives.
+
+    Running counts of reads decide, before a position is read or a feature made.
+    """
+    placed = manifest.offsets(reads)
+    sizes = placed.groupBy("file").agg(F.max("row_stop").alias("size"))
+    base = sizes.select("file", F.coalesce(F.sum("size").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), "size")
+    chosen = placed.join(counted(base), "file").where((F.col("base") + F.col("row_start") < n) & (F.col("row_stop") > F.col("row_start")))
+    return chosen.groupBy("file").agg(F.min("read_id").alias("start"), (F.max("read_id") + 1).alias("stop"), F.max(F.least(F.col("size"), n - F.col("base"))).cast("long").alias("rows"))
+
+
 def read_range(positions: DataFrame, starts: DataFrame, start: int, stop: int) -> DataFrame:
     """Positions of reads start to stop - 1 with row indexes counted from the range's first row. starts: offsets().
 
@@ -85,7 +108,7 @@ def nonempty(reads: DataFrame) -> DataFrame:
 
 def batches(reads: DataFrame, ranges: DataFrame, batch_reads: int) -> DataFrame:
     """file, batch_id and the shape of each batch; batches without symbols are left out but keep their number."""
-    placed = reads.join(F.broadcast(ranges), "file").where((F.col("read_id") >= F.col("start")) & (F.col("read_id") < F.col("stop")))
+    placed = reads.join(counted(ranges), "file").where((F.col("read_id") >= F.col("start")) & (F.col("read_id") < F.col("stop")))
     batch = F.floor((F.col("read_id") - F.col("start")) / batch_reads).cast("long")
     full = F.col("length") > 0
     out = placed.groupBy("file", batch.alias("batch_id")).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from qualweave.constants import CONTINUOUS
 from qualweave.functions import predictor, symbols
 from qualweave.operators import history, scores
-from qualweave.operators.split import with_length, within
+from qualweave.operators.split import within
 from qualweave.plans.network import Config, Read
 from qualweave.sources.views import Sequences
 
@@ -18,13 +18,14 @@ SCALARS = ("max_prob", "entropy", "expected_q", "rel_pos", "len_norm")
 
 
 def packed(view: Sequences, described: DataFrame, config: Config, ranges: DataFrame | None = None) -> DataFrame:
-    """file, read_id, length, seq. Reads outside ranges leave before any feature is made."""
+    """file, read_id, seq. Reads outside ranges leave before any feature is made; rows that don't match a read's length are an error."""
     reads, positions = (within(x, ranges) if ranges is not None else x for x in (view.reads, view.positions))
     wide = described.withColumn("log_p0_r", F.transform(predictor.residual_log_probs(F.col("probs"), F.col("q_hat")), lambda x: x.cast("float")))
     df = scores.features(Sequences(reads, positions), wide).drop("probs", "freqs")
     df = history.tokens(history.tokens(history.previous(df), "q", config.q_ks, config.stride, config.q_vocab), "r", config.r_ks, config.stride, config.r_vocab)
     tokens = ["q_hat", "prev_q", "prev_r", *[f"qmer_{i}" for i in range(len(config.q_ks))], *[f"rmer_{i}" for i in range(len(config.r_ks))]]
-    df = with_length(df, reads).withColumns({"rel_pos": symbols.relative_position(F.col("pos"), F.col("length")), "len_norm": symbols.length_norm(F.col("length"))})
+    # A read without positions, or positions without a read, come out of the full join with nulls.
+    df = df.join(reads.where("length <> 0").select("file", "read_id", "length").hint("merge"), ["file", "read_id"], "full").withColumns({"rel_pos": symbols.relative_position(F.col("pos"), F.col("length")), "len_norm": symbols.length_norm(F.col("length"))})
     row = F.struct(
         "pos",
         "observed",
@@ -34,7 +35,11 @@ def packed(view: Sequences, described: DataFrame, config: Config, ranges: DataFr
         F.array(*[F.col(t).cast("int") for t in tokens]).alias("tokens"),
         F.concat("log_p0_r", F.array(*[F.col(c).cast("float") for c in SCALARS])).alias("continuous"),
     )
-    return df.groupBy("file", "read_id").agg(F.sort_array(F.collect_list(row)).alias("seq"))
+    # Places sorted and without a gap up to the length: as many as it says, and the last is one less.
+    whole = df.groupBy("file", "read_id").agg(F.sort_array(F.collect_list(row)).alias("seq"), F.max("length").alias("length"))
+    dense = F.coalesce((F.size("seq") == F.col("length")) & (F.element_at(F.col("seq"), -1)["pos"] == F.col("length") - 1), F.lit(False))
+    message = F.concat_ws(" ", F.lit("row_alignment: read"), "read_id", F.lit("of"), "file")
+    return whole.select("file", "read_id", F.when(dense, F.col("seq")).otherwise(F.raise_error(message).cast(whole.schema["seq"].dataType)).alias("seq"))
 
 
 def unpacked(seq) -> Read:

@@ -99,7 +99,7 @@ def train(view: Sequences, out: str | Path, config: network.Config | None = None
             optimizer.step(parameters, gradients)
             total, count, base = total + loss, count + n, base + b
         test = packed(view, vectors, config, split.bounds(view.reads, "test", fraction, eval_reads or None))
-        val = metrics.require_symbols(metrics.compression(infer.score(test, config, parameters), by_file=False)).first().asDict()
+        val = metrics.require_symbols(metrics.compression(infer.score(test, config, parameters), by_file=False))[0].asDict()
         if np.isnan(val["model_avg_bits_per_quality"]):
             raise SequenceError(f"epoch {epoch}: validation gave NaN")
         log.append(

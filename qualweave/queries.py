@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualweave.constants import CONTEXT, SHIFT
+from qualweave.constants import CONTEXT, SEED, SHIFT
 from qualweave.functions import predictor, symbols
-from qualweave.operators import history, metrics, sampler, scores, sinks, split
+from qualweave.operators import collate, history, metrics, sampler, scores, sinks, split
 from qualweave.plans.oracle import TEST, sql
 from qualweave.sources import manifest as manifests
 from qualweave.sources.views import VIEWS, Sequences, flat, predictors
@@ -205,13 +205,70 @@ def sampling_weights(spark, sf):
     return split.sampling_weights(reads).withColumn("weight", r("weight", 9))
 
 
-@query("sampler_plan")
+def drawn_sql(steps: int, batch_reads: int, length: str) -> str:
+    """Blocks of all steps and tries, and of each step the first with a symbol; length: an expression of reads."""
+    number = lambda purpose: f"cast('0x' || substr(md5('{SEED}:' || step || ':' || try || ':{purpose}'), 1, 15) as bigint)"
+    return f"""
+, files as (select file, first_id, train_n, sum(train_n) over (order by file) - train_n as before, sum(train_n) over () as total from split),
+draws as (select step, try, {number("file")} as u, {number("start")} as v from (select unnest(range(0, {steps})) as step) cross join (select unnest(range(0, {sampler.TRIES})) as try)),
+blocks as (
+  select step, try, file, first_id + v % (train_n - least({batch_reads}, train_n) + 1) as start, least({batch_reads}, train_n) as size
+  from draws join files on u % total >= before and u % total < before + train_n),
+o as (select file, read_id, sum({length}) over (partition by file order by read_id) as upto, {length} as length from reads),
+full_ as (
+  select blocks.*, row_number() over (partition by step order by try) as k from blocks
+  join o a on a.file = blocks.file and a.read_id = start join o b on b.file = blocks.file and b.read_id = start + size - 1
+  where b.upto > a.upto - a.length)
+select step, file, cast(start as bigint) as start, cast(start + size as bigint) as stop from full_ where k = 1"""
+
+
+@query("sampler_plan", sql(drawn_sql(20, 64, "length"), "orders", "events"))
 def sampler_plan(spark, sf):
-    """Twenty seeded steps; a test compares them with a plain sampler."""
     reads = VIEWS["orders"](spark, sf).reads.unionByName(VIEWS["events"](spark, sf).reads)
     return sampler.plan(spark, reads, 20, 64)
 
 
+@query("sampler_retries", sql(drawn_sql(200, 2, "(case when read_id % 8 = 3 then length else 0 end)"), "orders", "events"))
+def sampler_retries(spark, sf):
+    """Most blocks are empty here, so steps draw again."""
+    reads = VIEWS["orders"](spark, sf).reads.unionByName(VIEWS["events"](spark, sf).reads)
+    return sampler.plan(spark, reads.withColumn("length", F.when(F.col("read_id") % 8 == 3, F.col("length")).otherwise(0)), 200, 2)
+
+
+BOUNDS = f"[{', '.join(map(str, collate.bucket_bounds()))}]"
+
+
+@on(
+    ("events",),
+    "padded_batches",
+    f""", kept as (select file, read_id, length, read_id // {collate.BLOCK_READS} as block, len(list_filter({BOUNDS}, lambda b: b < length)) as bucket
+  from reads join split using (file) where read_id >= first_id + train_n and length > 0),
+placed as (select *, (row_number() over (partition by file, block, bucket order by read_id) - 1) // 8 as part from kept),
+shape as (select file, block, bucket, part, max(length) as width from placed group by all),
+cells as (select *, unnest(range(0, width)) as pos from placed join shape using (file, block, bucket, part)),
+hist as (select *, lag(observed, 1, 95) over w as prev_q, lag(target, 1, 189) over w as prev_r from feat window w as (partition by file, read_id order by pos)),
+filled as (select c.*, coalesce(q_hat, 0) as q, coalesce(prev_q, 95) as pq, coalesce(prev_r, 189) as pr, coalesce(target, -100) as t, h.pos is not null as v
+  from cells c left join hist h on h.file = c.file and h.read_id = c.read_id and h.pos = c.pos)
+select file, cast(block as bigint) as block, cast(bucket as int) as bucket, cast(part as int) as part, cast(max(width) as int) as width,
+  string_agg(case when pos = 0 then cast(read_id as varchar) end, ',' order by read_id, pos) as read_ids, string_agg(case when pos = 0 then cast(length as varchar) end, ',' order by read_id, pos) as lengths,
+  string_agg(cast(v as varchar), ',' order by read_id, pos) as valid, string_agg(cast(q as varchar), ',' order by read_id, pos) as q_hat, string_agg(cast(pq as varchar), ',' order by read_id, pos) as prev_q,
+  string_agg(cast(pr as varchar), ',' order by read_id, pos) as prev_r, string_agg(cast(t as varchar), ',' order by read_id, pos) as target
+from filled group by file, block, bucket, part""",
+)
+def padded_batches(view):
+    """Dense batches of the test reads; arrays are written as text, so that other engines compare alike."""
+    feat = history.previous(test_part(scores.features(view), view))
+    out = collate.padded(feat, test_part(view.reads, view), batch_reads=8)
+    return out.select("file", "block", "bucket", "part", "width", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("read_ids", "lengths", "valid", *collate.FILLS)])
+
+
+@on(("events",), "six_decimals", "select read_id, pos, printf('%.6f', (observed * 2 + 1) / 128.0::double) as half, printf('%.6f', -(target + 0.1::double) / 3) as third, printf('%.6f', (observed + 1) * 1e17::double / 7) as large from feat")
+def six_decimals(view):
+    o, t = F.col("observed"), F.col("target")
+    values = {"half": (o * 2 + 1) / F.lit(128.0), "third": -(t + F.lit(0.1)) / 3, "large": (o + 1) * F.lit(1e17) / 7}
+    return scores.features(view).select("read_id", "pos", *[sinks.decimals(v).alias(c) for c, v in values.items()])
+
+
 @on(("events",), "normalized_probs", "select file, pred_key, q, round(p, 9) as prob, round(ln(greatest(p, 1e-12::double)), 6) as log_prob from prob")
 def normalized_probs(view):
     return described(view).select("file", "pred_key", F.posexplode("probs").alias("q", "p")).select("file", "pred_key", "q", r("p", 9).alias("prob"), r(F.ln(predictor.floored(F.col("p")))).alias("log_prob"))
@@ -439,8 +496,35 @@ def sample_predictions(view):
 from feat {TEST} order by read_id, pos limit 1000""",
 )
 def compact_log(view):
-    scored = scores.by_predictor(test_part(scores.features(view), view))
-    return sinks.compact_lines(sinks.first_rows(scored, 1000, ["file", "read_id", "pos"])).select("read_id", "pos", "line")
+    return logged([view], 1000).select("read_id", "pos", "line")
+
+
+def logged(views: list[Sequences], n: int) -> DataFrame:
+    """The first n lines of the test reads; of the views' positions only the reads that hold them are read."""
+    tests = [test_part(v.reads, v) for v in views]
+    both = tests[0]
+    for t in tests[1:]:
+        both = both.unionByName(t)
+    ranges = split.head(both, n)
+    parts = [scores.by_predictor(scores.features(Sequences(split.within(v.reads, ranges), split.within(v.positions, ranges)), described(v))) for v in views]
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    return sinks.compact_lines(sinks.first_rows(scored, n, ["file", "read_id", "pos"]))
+
+
+@query(
+    "compact_log_files",
+    sql(
+        f"""select file, read_id, pos, '{{' || q_hat || '}}{{' || chr(33 + q_hat) || '}}{{' || printf('%.6f', greatest(max_prob, 1e-12::double) / floored_sum) || '}}{{' || observed || '}}{{' || chr(33 + observed) || '}}' as line
+from feat {TEST} order by file, read_id, pos limit 3000""",
+        "orders",
+        "events",
+    ),
+)
+def compact_log_files(spark, sf):
+    """At the smaller sizes the log goes on in a second file."""
+    return logged([VIEWS[n](spark, sf) for n in ("orders", "events")], 3000)
 
 
 def small_network(view: Sequences, reads: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qualweave.constants import ALPHABET, TRAIN_FRACTION
-from qualweave.operators.split import train_reads
+from qualweave.operators.split import counted, train_reads
 from qualweave.session import table
 from qualweave.sources import manifest
 
@@ -94,7 +94,7 @@ def predictors(view: Sequences, fraction: float = TRAIN_FRACTION) -> DataFrame:
     """Counts of ids among train reads by (file, pred_key); a key that only test reads have gets zeros."""
     split = train_reads(view.reads, fraction).select("file", "train_n")
     first = view.reads.groupBy("file").agg(F.min("read_id").alias("first"))
-    placed = view.positions.join(F.broadcast(split.join(first, "file")), "file")
+    placed = view.positions.join(counted(split.join(first, "file")), "file")
     train = F.col("read_id") < F.col("first") + F.col("train_n")
     counts = placed.groupBy("file", "pred_key", "observed").agg(F.sum(train.cast("long")).alias("n"))
     by_id = F.map_from_entries(F.collect_list(F.struct("observed", "n")))

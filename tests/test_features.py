@@ -1,6 +1,10 @@
+import hashlib
+import math
+import struct
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -12,7 +16,8 @@ import oracle  # noqa: E402
 from qualweave.constants import MAX_ID  # noqa: E402
 from qualweave.errors import SequenceError  # noqa: E402
 from qualweave.functions import predictor, symbols  # noqa: E402
-from qualweave.operators import history, metrics, sampler, scores, sinks, split  # noqa: E402
+from qualweave.operators import collate, history, metrics, sampler, scores, sinks, split  # noqa: E402
+from qualweave.plans import network, packing  # noqa: E402
 from qualweave.sources import files, manifest  # noqa: E402
 from qualweave.sources.views import VIEWS, Sequences  # noqa: E402
 
@@ -153,21 +158,34 @@ def test_uniform_and_zero_symbols(spark):
     assert sure.relative_improvement is None
 
 
-def test_sampler_matches_a_plain_sampler(spark):
-    import random
+def counter(seed, step, tries, purpose):
+    return int(hashlib.md5(f"{seed}:{step}:{tries}:{purpose}".encode()).hexdigest()[:15], 16)
 
+
+@pytest.mark.parametrize("batch_reads", [1, 2, 50])
+def test_sampler_matches_a_plain_sampler(spark, batch_reads):
     lengths = {"a": [0, 0, 0, 4, 0, 0, 2, 0, 0, 0, 0, 0], "b": [1, 0, 0, 0, 0, 0, 0, 0, 3, 0]}
     reads = spark.createDataFrame([(f, i, n) for f, ns in lengths.items() for i, n in enumerate(ns)], "file string, read_id long, length int")
-    got = [(r.file, r.start, r.stop) for r in sampler.plan(spark, reads, 15, 2, seed=4).orderBy("step").collect()]
-    rng, expected = random.Random(4), []
+    got = [tuple(r) for r in sampler.plan(spark, reads, 40, batch_reads, seed=4).orderBy("step").select("step", "file", "start", "stop").collect()]
     train = {f: split.split_count(len(ns)) for f, ns in lengths.items()}
-    while len(expected) < 15:
-        f = rng.choices(sorted(train), weights=[train[f] / sum(train.values()) for f in sorted(train)], k=1)[0]
-        size = min(2, train[f])
-        start = rng.randint(0, train[f] - size) if train[f] > size else 0
-        if any(lengths[f][start : start + size]):
-            expected.append((f, start, start + size))
-    assert got == expected
+    places = [f for f in sorted(train) for _ in range(train[f])]
+    expected, tried = [], 0
+    for step in range(40):
+        for k in range(sampler.TRIES):
+            f = places[counter(4, step, k, "file") % len(places)]
+            size = min(batch_reads, train[f])
+            start = counter(4, step, k, "start") % (train[f] - size + 1)
+            if any(lengths[f][start : start + size]):
+                expected.append((step, f, start, start + size))
+                tried = max(tried, k)
+                break
+    assert got == expected and (batch_reads > 1 or tried >= sampler.FIRST_TRIES)
+
+
+def test_sampler_gives_up_on_empty_reads(spark):
+    reads = spark.createDataFrame([("a", i, 0) for i in range(9)] + [("a", 9, 5)], "file string, read_id long, length int")
+    with pytest.raises(Exception, match="failed to sample a batch with non-empty reads after 100 attempts"):
+        sampler.plan(spark, reads, 3, 2).collect()
 
 
 def test_parsers_and_discovery(tmp_path):
@@ -199,6 +217,87 @@ def test_sinks(spark, tmp_path):
     assert symbols.six(0.0000005) == "0.000000" and MAX_ID == 94
 
 
+def test_six_decimals_match_pythons_format(spark):
+    rng = np.random.default_rng(5)
+    edges = [0.0, -0.0, 5e-7, -5e-7, 4.9e-7, 0.9999995, 1.0000005, 2.5e-6, 2.0**53, 2.0**62, 2.0**63, 1e22, 1e23, 1.7e308, -1e300, 5e-324, math.nan, math.inf, -math.inf]
+    halves = [(2 * k + 1) / 2**7 for k in range(200)] + [w + (2 * k + 1) / 2**7 for w in (3, 77_777, 2**40) for k in range(64)]
+    any_bits = [struct.unpack("d", struct.pack("Q", int(b)))[0] for b in rng.integers(0, 1 << 63, 1500)]
+    scales = [float(m) * 10.0 ** int(e) for m, e in zip(rng.random(1500), rng.integers(-9, 25, 1500), strict=True)]
+    near = [round(float(m) * 100, 6) + 5e-7 for m in rng.random(500)]
+    values = [*edges, *halves, *any_bits, *scales, *near, None]
+    df = spark.createDataFrame([(v, None if v is None else f"{v:.6f}") for v in values], "v double, wanted string")
+    assert df.where(~sinks.decimals(F.col("v")).eqNullSafe(F.col("wanted"))).collect() == []
+
+
+def test_head_takes_the_reads_that_hold_the_first_symbols(spark):
+    lengths = {"a": [3, 0, 2, 4], "b": [0, 5, 1], "c": [7]}
+    reads = spark.createDataFrame([(f, 10 + i, n) for f, ns in lengths.items() for i, n in enumerate(ns)], "file string, read_id long, length int")
+    places = [(f, 10 + i) for f, ns in lengths.items() for i, n in enumerate(ns) for _ in range(n)]
+    for n in (0, 1, 3, 4, 9, 10, 14, 15, 22, 99):
+        got = {r.file: (r.start, r.stop, r.rows) for r in split.head(reads, n).collect()}
+        some = places[:n]
+        assert got == {f: (min(i for g, i in some if g == f), max(i for g, i in some if g == f) + 1, sum(g == f for g, _ in some)) for f in {f for f, _ in some}}
+
+
+def test_log_reads_only_the_reads_that_it_shows(spark, small):
+    from qualweave import queries
+
+    plan = queries.logged([VIEWS["orders"](spark, small)], 20)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "PushedFilters" in line or "FileScan" in line]
+    assert any("GreaterThanOrEqual(l_orderkey" in x and "LessThan(l_orderkey" in x for x in scans), plan
+
+
+def test_padded_batches_hold_every_read_once(spark):
+    rng = np.random.default_rng(9)
+    lengths = [int(n) for n in rng.integers(0, 30, 60)]
+    reads = spark.createDataFrame([("f", i, n) for i, n in enumerate(lengths)], "file string, read_id long, length int")
+    cells = [("f", i, k, 100 * i + k, [i, k]) for i, n in enumerate(lengths) for k in range(n)]
+    df = spark.createDataFrame(cells, "file string, read_id long, pos int, code int, pair array<int>")
+    seen, symbols, padding = [], 0, 0
+    for r in collate.padded(df, reads, {"code": -1, "pair": -2}, batch_reads=4, slack=0.25, block_reads=32).collect():
+        code = np.array(r["code"]).reshape(len(r["lengths"]), r["width"])
+        pair = np.array(r["pair"]).reshape(len(r["lengths"]), r["width"], 2)
+        valid = np.array(r["valid"]).reshape(code.shape)
+        assert len(r["lengths"]) <= 4 and r["width"] == max(r["lengths"]) and len({i // 32 for i in r["read_ids"]}) == 1
+        for i, n, line, two, ok in zip(r["read_ids"], r["lengths"], code, pair, valid, strict=True):
+            assert line.tolist() == [100 * i + k for k in range(n)] + [-1] * (r["width"] - n)
+            assert two[:n].tolist() == [[i, k] for k in range(n)] and (two[n:] == -2).all() and ok.sum() == n
+        seen += r["read_ids"]
+        symbols, padding = symbols + sum(r["lengths"]), padding + int((~valid).sum())
+    assert sorted(seen) == [i for i, n in enumerate(lengths) if n] and padding <= 0.25 * symbols
+    with pytest.raises(SequenceError):
+        collate.batches(reads, 0)
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.1, 0.25, 2.0])
+def test_bucket_bounds(slack):
+    bounds = collate.bucket_bounds(slack, 5000)
+    assert bounds[0] == 1 and all(a < b <= max(a + 1, (a + 1) * (1 + slack)) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def test_rules_hold_within_the_plan(spark):
+    view, vectors = toy(spark)
+    bad = Sequences(view.reads, view.positions.withColumn("observed", F.when(F.col("pos") == 2, 95).otherwise(F.col("observed"))))
+    with pytest.raises(Exception, match="observed_range: 95"):
+        scores.features(bad, predictor.described(vectors)).collect()
+    with pytest.raises(Exception, match="residual_class: 189"):
+        spark.range(1).select(symbols.checked_class(F.lit(189)).alias("c")).collect()
+    assert [r.c for r in spark.range(1).select(F.explode(F.array(symbols.checked_class(F.lit(0)), symbols.checked_class(F.lit(188)))).alias("c")).collect()] == [0, 188]
+    config = network.Config(d_model=8, heads=2, layers=1, feedforward=8, context=4)
+    good = packing.packed(view, predictor.described(vectors), config)
+    assert sorted((r.read_id, len(r.seq)) for r in good.collect()) == [(0, 5), (2, 1)]
+    faults = [
+        Sequences(view.reads, view.positions.where("pos <> 4")),
+        Sequences(view.reads, view.positions.where("read_id <> 2")),
+        Sequences(view.reads.where("read_id <> 2"), view.positions),
+        Sequences(view.reads, view.positions.withColumn("pos", F.col("pos") * 2)),
+        Sequences(view.reads.withColumn("length", F.when(F.col("read_id") == 1, -1).otherwise(F.col("length"))), view.positions),
+    ]
+    for fault in faults:
+        with pytest.raises(Exception, match="row_alignment: read [012] of t"):
+            packing.packed(fault, predictor.described(vectors), config).collect()
+
+
 def test_plans(spark, small):
     stored, _ = toy(spark)
     text = history.tokens(stored.positions, "q")._jdf.queryExecution().executedPlan().toString()
