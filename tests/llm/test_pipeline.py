@@ -3,6 +3,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
+import pytest  # noqa: E402
+from helpers import docs  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from qualweave.llm import exact_dedup, mixing, near_dedup, sentencepiece_lattice, toxicity  # noqa: E402
 from qualweave.session import table  # noqa: E402
 
@@ -41,3 +44,28 @@ def test_entry_lists_the_queries():
     names = set(entry.queries())
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= names
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (2, "", "a"), (3, "a clean line about rivers and hills", None), (4, "a clean line about rivers and hills", "b"), (4, "a clean line about rivers and hills", "b"), (None, "no id here", "b"), (5, "word " * 30_000, "b"), (6, "one", "c")]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_on_odd_and_empty_tables(spark, small, rows):
+    """Nulls, empty, repeated and very long texts, null ids, and columns whose names operators use themselves."""
+    given = docs(spark, rows).withColumns({"score": F.lit(1.0), "Bucket": F.lit("x"), "h": F.lit(2), "taken": F.lit(3), "target": F.lit(4)})
+    texts = {(i, t) for i, t, _ in rows}
+    out = {name: stage(spark, given, small) for name, stage in corpus_pipeline.STAGES}
+    for name, df in out.items():
+        if name != "sentencepiece":
+            assert df.columns == given.columns, name
+    got = {name: df.collect() for name, df in out.items()}
+    key = lambda name: sorted(((r["doc_id"], r["text"]) for r in got[name]), key=repr)
+    assert key("toxicity") == sorted(((i, t) for i, t, _ in rows), key=repr)
+    if not rows:
+        assert all(not r for r in got.values())
+        return
+    assert [(i, (t or "")[:5]) for i, t in key("exact_dedup")] == [(2, ""), (4, "a cle"), (5, "word "), (6, "one"), (None, "no id")]
+    assert {(3, "a clean line about rivers and hills"), (5, "word " * 30_000)} <= set(key("near_dedup")) <= texts and 4 not in {i for i, _ in key("near_dedup")}
+    assert set(key("mix_sources")) <= texts
+    samples = {(r["doc_id"], r["sample"]): r for r in got["sentencepiece"]}
+    assert {i for i, _ in samples} == {i for i, _ in texts} and samples[1, 1]["n_pieces"] == samples[2, 1]["n_pieces"] == 0 and samples[5, 3]["n_pieces"] > 20_000
