@@ -397,13 +397,17 @@ def attention_window(view):
 
 @query(
     "position_encoding",
-    """select cast(p.p as int) as pos, cast(d.d as int) as dim,
-  round(case when d.d % 2 = 0 then sin(p.p * exp(d.d * (-ln(10000.0::double) / 7))) else cos(p.p * exp((d.d - 1) * (-ln(10000.0::double) / 7))) end, 6) as value
-from (select unnest(range(0, 300)) as p) p cross join (select unnest(range(0, 7)) as d) d""",
+    sql(
+        """select p.pos as pos, cast(d.d as int) as dim,
+  round(case when d.d % 2 = 0 then sin(p.pos * exp(d.d * (-ln(10000.0::double) / 7))) else cos(p.pos * exp((d.d - 1) * (-ln(10000.0::double) / 7))) end, 6) as value
+from (select distinct pos from pos) p cross join (select unnest(range(0, 7)) as d) d""",
+        "events",
+    ),
 )
 def position_encoding(spark, sf):
+    """Of each place that a read has."""
     angle = F.col("pos") * F.exp((F.col("dim") - F.col("dim") % 2) * (-F.ln(F.lit(10_000.0)) / 7))
-    cells = spark.range(300).select(F.col("id").cast("int").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("dim"))
+    cells = VIEWS["events"](spark, sf).positions.select("pos").distinct().select("pos", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("dim"))
     return cells.select("pos", "dim", r(F.when(F.col("dim") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))).alias("value"))
 
 
@@ -441,24 +445,34 @@ def global_metrics(spark, sf):
     return rounded_metrics(metrics.compression(parts[0].unionByName(parts[1]), by_file=False))
 
 
-#: epoch, loss, symbols, baseline bits
-STEPS = [(1, 3.1, 100, 520.0), (1, 2.9, 300, 1500.0), (2, 2.5, 200, 990.0), (2, 2.25, 50, 260.0), (3, 2.5, 10, 51.0)]
-LOG = [(1, 4.25), (2, 4.125), (3, 4.125), (4, float("nan")), (5, 4.5)]
+#: Each read is a step of one of five epochs, with the predictor's loss.
+STEPS = """, steps as (select read_id % 5 + 1 as epoch, avg(-ln(greatest(p_true, 1e-12::double))) as loss, count(*) as symbols, sum(-log2(greatest(p_true, 1e-12::double))) as baseline
+  from feat group by file, read_id),
+epochs as (select epoch, cast(sum(symbols) as bigint) as symbols, sum(loss * symbols) / sum(symbols) / ln(2.0::double) as train_bits, sum(baseline) / sum(symbols) as train_baseline_bits from steps group by epoch)"""
 
 
-@query(
-    "epoch_average",
-    f"""select epoch, cast(sum(symbols) as bigint) as symbols, round(sum(loss * symbols) / sum(symbols) / ln(2.0::double), 6) as train_bits, round(sum(baseline) / sum(symbols), 6) as train_baseline_bits
-from (values {', '.join(f'({e}, {a}::double, {s}, {b}::double)' for e, a, s, b in STEPS)}) t(epoch, loss, symbols, baseline) group by epoch""",
-)
+def steps(view: Sequences) -> DataFrame:
+    p = predictor.floored(F.col("p_true"))
+    return scores.features(view).groupBy("file", "read_id").agg(F.avg(-F.ln(p)).alias("loss"), F.count("*").alias("symbols"), F.sum(-F.log2(p)).alias("baseline_bits")).withColumn("epoch", F.col("read_id") % 5 + 1)
+
+
+@query("epoch_average", sql(f"{STEPS} select epoch, symbols, round(train_bits, 6) as train_bits, round(train_baseline_bits, 6) as train_baseline_bits from epochs", "events"))
 def epoch_average(spark, sf):
-    steps = spark.createDataFrame(STEPS, "epoch int, loss double, symbols long, baseline_bits double")
-    return metrics.epoch_average(steps).withColumns({"train_bits": r("train_bits"), "train_baseline_bits": r("train_baseline_bits")})
+    return metrics.epoch_average(steps(VIEWS["events"](spark, sf))).withColumns({"train_bits": r("train_bits"), "train_baseline_bits": r("train_baseline_bits")})
 
 
-@query("best_epoch", f"select epoch, val_bits from (values {', '.join(f'({e}, {chr(39)}{b}{chr(39)}::double)' for e, b in LOG)}) t(epoch, val_bits) where not isnan(val_bits) order by val_bits, epoch limit 1")
+@query(
+    "best_epoch",
+    sql(
+        f"""{STEPS}, log as (select epoch, case when epoch = 3 then 'nan'::double else round(train_bits, 3) end as val_bits from epochs)
+select epoch, val_bits from log where not isnan(val_bits) order by val_bits, epoch limit 1""",
+        "events",
+    ),
+)
 def best_epoch(spark, sf):
-    return metrics.best_epoch(spark.createDataFrame(LOG, "epoch int, val_bits double"))
+    """One epoch's value is made NaN, which never wins; values are rounded, so that equal ones go to the earliest."""
+    log = metrics.epoch_average(steps(VIEWS["events"](spark, sf))).select("epoch", F.when(F.col("epoch") == 3, float("nan")).otherwise(r("train_bits", 3)).alias("val_bits"))
+    return metrics.best_epoch(log)
 
 
 @on(

@@ -188,6 +188,19 @@ def test_sampler_gives_up_on_empty_reads(spark):
         sampler.plan(spark, reads, 3, 2).collect()
 
 
+def test_epoch_average_and_best_epoch(spark):
+    steps = [(1, 3.1, 100, 520.0), (1, 2.9, 300, 1500.0), (2, 2.5, 200, 990.0), (2, 2.25, 50, 260.0), (3, 2.5, 10, 51.0)]
+    got = {r.epoch: r for r in metrics.epoch_average(spark.createDataFrame(steps, "epoch int, loss double, symbols long, baseline_bits double")).collect()}
+    for epoch in (1, 2, 3):
+        own = [x for x in steps if x[0] == epoch]
+        n = sum(x[2] for x in own)
+        assert got[epoch].symbols == n and got[epoch].train_baseline_bits == pytest.approx(sum(x[3] for x in own) / n)
+        assert got[epoch].train_bits == pytest.approx(sum(x[1] * x[2] for x in own) / n / math.log(2))
+    log = lambda *rows: spark.createDataFrame(rows, "epoch int, val_bits double")
+    assert tuple(metrics.best_epoch(log((1, 4.25), (2, 4.125), (3, 4.125), (4, math.nan), (5, 4.5))).first()) == (2, 4.125)
+    assert metrics.best_epoch(log((1, math.nan), (2, None))).count() == 0
+
+
 def test_parsers_and_discovery(tmp_path):
     assert symbols.parse_ks("2, 3,,4") == (2, 3, 4) and symbols.parse_ks("") == ()
     assert symbols.normal_ks([3, -1, 0, 3]) == (3, 3) and symbols.normal_ks(None) == ()
