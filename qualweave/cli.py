@@ -1,4 +1,4 @@
-"""Command lines: train and predict over a sequence view of Parquet tables."""
+"""Command lines: train and predict over HDF5 files, or over a sequence view of Parquet tables."""
 
 from __future__ import annotations
 
@@ -20,22 +20,27 @@ from qualweave.operators import metrics, sinks, split
 from qualweave.plans import infer, network, packing, training
 from qualweave.session import ensure_workers
 from qualweave.sources import manifest
-from qualweave.sources.views import VIEWS, predictors
+from qualweave.sources.views import VIEWS, Sequences, predictors, stored
 
 RUNS = "runs/transformer_residual_qrmer"
+#: The folder of HDF5 files that a run without inputs reads.
+INPUT = "h5"
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="qualweave")
     commands = top.add_subparsers(dest="command", required=True)
     shared = argparse.ArgumentParser(add_help=False)
-    shared.add_argument("--data", required=True, help="folder of the Parquet tables")
+    shared.add_argument("--data", help="folder of Parquet tables, read instead of HDF5 files")
     shared.add_argument("--view", choices=sorted(VIEWS), default="events")
     shared.add_argument("--no-progress", action="store_true")
+    shared.add_argument("--device", choices=("auto", "cpu"), default="auto", help="tasks compute with NumPy; both mean the CPU")
     shared.add_argument("--train-fraction", type=float, default=TRAIN_FRACTION)
+    inputs = {"nargs": "*", "default": [INPUT], "help": "HDF5 files, or folders of them"}
     t = commands.add_parser("train", parents=[shared])
+    t.add_argument("inputs", **inputs)
     t.add_argument("--output-dir", default=RUNS)
-    for flag, value in (("epochs", 5), ("steps-per-epoch", 1000), ("batch-reads", 64), ("eval-max-reads-per-file", 5000), ("q-hat-embed-dim", 16), ("prev-q-embed-dim", 16), ("prev-r-embed-dim", 32), ("qmer-vocab-size", VOCAB), ("rmer-vocab-size", VOCAB), ("qmer-embed-dim", 8), ("rmer-embed-dim", 8), ("mer-stride", STRIDE), ("d-model", 256), ("num-heads", 4), ("num-layers", 2), ("feedforward-dim", 512), ("context-length", CONTEXT), ("seed", SEED)):
+    for flag, value in (("epochs", 5), ("steps-per-epoch", 1000), ("batch-reads", 64), ("eval-batch-reads", infer.BATCH_READS), ("eval-max-reads-per-file", 5000), ("q-hat-embed-dim", 16), ("prev-q-embed-dim", 16), ("prev-r-embed-dim", 32), ("qmer-vocab-size", VOCAB), ("rmer-vocab-size", VOCAB), ("qmer-embed-dim", 8), ("rmer-embed-dim", 8), ("mer-stride", STRIDE), ("d-model", 256), ("num-heads", 4), ("num-layers", 2), ("feedforward-dim", 512), ("context-length", CONTEXT), ("seed", SEED)):
         t.add_argument(f"--{flag}", type=int, default=value)
     for flag, value in (("lr", 1e-3), ("weight-decay", 1e-5), ("grad-clip", 1.0)):
         t.add_argument(f"--{flag}", type=float, default=value)
@@ -44,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--save-every-epoch", action="store_true")
     p = commands.add_parser("predict", parents=[shared])
     p.add_argument("checkpoint")
+    p.add_argument("inputs", **inputs)
+    p.add_argument("--batch-reads", type=int, default=infer.BATCH_READS)
     p.add_argument("--split", choices=("test", "train", "all"), default="test")
     p.add_argument("--max-reads-per-file", type=int)
     p.add_argument("--output-csv", default=f"{RUNS}/predict_metrics.csv")
@@ -55,13 +62,20 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _view(spark: SparkSession, a: argparse.Namespace) -> Sequences:
+    return VIEWS[a.view](spark, a.data) if a.data else stored(spark, a.inputs)
+
+
 def _train(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.eval_max_reads_per_file < 0:
         raise SystemExit("--eval-max-reads-per-file must be 0 (all) or more")
     config = network.Config(a.q_hat_embed_dim, a.prev_q_embed_dim, a.prev_r_embed_dim, a.qmer_ks, a.rmer_ks, a.qmer_vocab_size, a.rmer_vocab_size, a.qmer_embed_dim, a.rmer_embed_dim, a.d_model, a.num_heads, a.num_layers, a.feedforward_dim, a.context_length, a.mer_stride)
-    sinks.save_json(vars(a) | {"model_type": "transformer_residual", "uses_qr_mer": bool(a.qmer_ks or a.rmer_ks)}, Path(a.output_dir) / "config.json")
-    view = VIEWS[a.view](spark, a.data)
-    manifest.require_valid(view.reads, view.positions, boundaries=view.boundaries)
+    view = _view(spark, a)
+    if not view.own_counts:  # HDF5 files are checked as they are planned, and their ids where they are read.
+        manifest.require_valid(view.reads, view.positions, boundaries=view.boundaries)
+    found = [r.asDict() for r in manifest.manifest(view.reads).orderBy("file").toLocalIterator()]
+    about = {"model_type": "transformer_residual", "uses_qr_mer": bool(a.qmer_ks or a.rmer_ks), "input_files": [r["file"] for r in found], "files": found}
+    sinks.save_json(vars(a) | about, Path(a.output_dir) / "config.json")
     path, whole = Path(a.output_dir) / "train_log.csv", {"epoch", "val_total_symbols", "val_zero_true_freq"}
     path.write_text("", encoding="utf-8")
 
@@ -74,19 +88,19 @@ def _train(spark: SparkSession, a: argparse.Namespace) -> None:
         print(f"epoch {row['epoch']}: train {six(row['train_bits_per_quality'])} bits, validation {six(row['val_model_avg_bits_per_quality'])} bits, {gain}", flush=True)
 
     with progress.shown(spark, "train", not a.no_progress):
-        training.train(view, a.output_dir, config, a.epochs, a.steps_per_epoch, a.batch_reads, a.eval_max_reads_per_file or None, a.train_fraction, a.lr, a.weight_decay, a.grad_clip, a.seed, a.save_every_epoch, report)
+        training.train(view, a.output_dir, config, a.epochs, a.steps_per_epoch, a.batch_reads, a.eval_max_reads_per_file or None, a.train_fraction, a.lr, a.weight_decay, a.grad_clip, a.seed, a.save_every_epoch, report, a.eval_batch_reads)
     print(f"wrote {path}")
 
 
 def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.max_reads_per_file is not None and a.max_reads_per_file <= 0:
         raise SystemExit("--max-reads-per-file must be positive")
-    view = VIEWS[a.view](spark, a.data)
+    view = _view(spark, a)
     config, parameters, _ = network.load(a.checkpoint)
-    vectors = described(predictors(view, a.train_fraction))
+    vectors = None if view.own_counts else described(predictors(view, a.train_fraction))
 
     def scored(ranges: DataFrame) -> DataFrame:
-        return infer.score(packing.packed(view, vectors, config, ranges), config, parameters)
+        return infer.score(packing.packed(view, vectors, config, ranges), config, parameters, a.batch_reads)
 
     table = metrics.compression(scored(split.bounds(view.reads, a.split, a.train_fraction, a.max_reads_per_file)))
     with progress.shown(spark, "predict", not a.no_progress):
@@ -112,6 +126,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     a = parser().parse_args(argv)
     if a.command == "train" and not 0 < a.train_fraction < 1:
         raise SystemExit("--train-fraction must be in (0, 1)")
+    if min(a.batch_reads, getattr(a, "eval_batch_reads", 1)) < 1:
+        raise SystemExit("batches of reads must be positive")
     spark = SparkSession.builder.appName("qualweave").getOrCreate()
     ensure_workers(spark)
     try:

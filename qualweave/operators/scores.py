@@ -23,11 +23,16 @@ def features(view: Sequences, described: DataFrame | None = None, fraction: floa
     """Positions with q_hat, max_prob, entropy, expected_q, p_true, true_freq, residual and target.
 
     described: predictor.described(...), one row for each distinct vector; broadcast if a count finds few.
+    Positions with counts of their own are described in place, without a join.
     An id outside the alphabet, or a class outside its range, is an error where it is read.
     """
-    if described is None:
-        described = predictor.described(predictors(view, fraction) if fraction else predictors(view))
-    joined = view.positions.withColumn("observed", symbols.checked_id(F.col("observed"))).join(counted(described.drop("total")), ["file", "pred_key"], "left")
+    positions = view.positions.withColumn("observed", symbols.checked_id(F.col("observed")))
+    if view.own_counts:
+        joined = predictor.described(positions).drop("total")
+    else:
+        if described is None:
+            described = predictor.described(predictors(view, fraction) if fraction else predictors(view))
+        joined = positions.join(counted(described.drop("total")), ["file", "pred_key"], "left")
     out = joined.withColumns({"p_true": F.get("probs", "observed"), "true_freq": F.get("freqs", "observed"), "residual": symbols.residual(F.col("observed"), F.col("q_hat"))})
     return out.withColumn("target", symbols.checked_class(symbols.target(F.col("residual"))))
 

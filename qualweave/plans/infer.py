@@ -10,18 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualweave.constants import LN2, SHIFT
+from qualweave.errors import SequenceError
 from qualweave.plans import network
 from qualweave.plans.packing import unpacked
 
 POSITION = "file string, read_id long, pos int, observed int, q_hat int, residual int, pred_residual int, pred_prob double, model_prob double, p_true double, true_freq double, model_bits double, baseline_bits double"
 
 
-def score(packed: DataFrame, config: network.Config, parameters: network.Parameters) -> DataFrame:
-    """Positions with the true symbol's probability and the likeliest residual (the lowest of equals), ready for metrics and sinks."""
+#: Reads that are scored before a task hands their positions on.
+BATCH_READS = 128
+
+
+def score(packed: DataFrame, config: network.Config, parameters: network.Parameters, batch_reads: int = BATCH_READS) -> DataFrame:
+    """Positions with the true symbol's probability and the likeliest residual (the lowest of equals), ready for metrics and sinks.
+
+    batch_reads bounds the memory of a task's output; results don't depend on it.
+    """
+    if batch_reads < 1:
+        raise SequenceError("batch_reads must be positive")
     shared = packed.sparkSession.sparkContext.broadcast((config, parameters))
 
     def scored(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         config, parameters = shared.value
+        done = []
         for pdf in source:
             for file, read_id, seq in zip(pdf["file"], pdf["read_id"], pdf["seq"], strict=True):
                 read = unpacked(seq)
@@ -29,7 +40,7 @@ def score(packed: DataFrame, config: network.Config, parameters: network.Paramet
                 q_hat, rows = read.tokens[:, 0], np.arange(len(seq))
                 logp = network.log_softmax(logits, q_hat)
                 best = logp.argmax(axis=1)
-                yield pd.DataFrame(
+                one = pd.DataFrame(
                     {
                         "file": file,
                         "read_id": read_id,
@@ -46,6 +57,12 @@ def score(packed: DataFrame, config: network.Config, parameters: network.Paramet
                         "baseline_bits": -np.log2(np.maximum([s["p_true"] for s in seq], 1e-12)),
                     }
                 )
+                done.append(one)
+                if len(done) == batch_reads:
+                    yield pd.concat(done, ignore_index=True)
+                    done = []
+        if done:
+            yield pd.concat(done, ignore_index=True)
 
     return packed.select("file", "read_id", "seq").mapInPandas(scored, POSITION)
 

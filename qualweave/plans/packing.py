@@ -17,11 +17,18 @@ from qualweave.sources.views import Sequences
 SCALARS = ("max_prob", "entropy", "expected_q", "rel_pos", "len_norm")
 
 
-def packed(view: Sequences, described: DataFrame, config: Config, ranges: DataFrame | None = None) -> DataFrame:
-    """file, read_id, seq. Reads outside ranges leave before any feature is made; rows that don't match a read's length are an error."""
+def packed(view: Sequences, described: DataFrame | None, config: Config, ranges: DataFrame | None = None) -> DataFrame:
+    """file, read_id, seq. Reads outside ranges leave before any feature is made; rows that don't match a read's length are an error.
+
+    described: the vectors of the view; None where positions hold their own counts.
+    """
     reads, positions = (within(x, ranges) if ranges is not None else x for x in (view.reads, view.positions))
-    wide = described.withColumn("log_p0_r", F.transform(predictor.residual_log_probs(F.col("probs"), F.col("q_hat")), lambda x: x.cast("float")))
-    df = scores.features(Sequences(reads, positions), wide).drop("probs", "freqs")
+    log_p0 = F.transform(predictor.residual_log_probs(F.col("probs"), F.col("q_hat")), lambda x: x.cast("float"))
+    if view.own_counts:
+        df = scores.features(Sequences(reads, positions)).withColumn("log_p0_r", log_p0)
+    else:
+        df = scores.features(Sequences(reads, positions), described.withColumn("log_p0_r", log_p0))
+    df = df.drop("probs", "freqs")
     df = history.tokens(history.tokens(history.previous(df), "q", config.q_ks, config.stride, config.q_vocab), "r", config.r_ks, config.stride, config.r_vocab)
     tokens = ["q_hat", "prev_q", "prev_r", *[f"qmer_{i}" for i in range(len(config.q_ks))], *[f"rmer_{i}" for i in range(len(config.r_ks))]]
     # A read without positions, or positions without a read, come out of the full join with nulls.

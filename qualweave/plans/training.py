@@ -76,7 +76,7 @@ def step_gradients(reads: DataFrame, config: network.Config, parameters: network
     return sum(r.loss for r in rows), symbols, sum(r.base for r in rows), gradients
 
 
-def train(view: Sequences, out: str | Path, config: network.Config | None = None, epochs: int = 5, steps: int = 1000, batch_reads: int = 64, eval_reads: int | None = 5000, fraction: float = TRAIN_FRACTION, rate: float = 1e-3, decay: float = 1e-5, grad_clip: float = 1.0, seed: int = SEED, every_epoch: bool = False, report: Callable[[dict], None] | None = None) -> list[dict]:
+def train(view: Sequences, out: str | Path, config: network.Config | None = None, epochs: int = 5, steps: int = 1000, batch_reads: int = 64, eval_reads: int | None = 5000, fraction: float = TRAIN_FRACTION, rate: float = 1e-3, decay: float = 1e-5, grad_clip: float = 1.0, seed: int = SEED, every_epoch: bool = False, report: Callable[[dict], None] | None = None, eval_batch_reads: int = infer.BATCH_READS) -> list[dict]:
     """The training log, each row of which is also handed to report as its epoch ends. Checkpoints: best (least validation bits, the earliest of equals) and, on request, each epoch.
 
     Dropout isn't applied. A validation of NaN raises, as no epoch could then be the best.
@@ -87,7 +87,7 @@ def train(view: Sequences, out: str | Path, config: network.Config | None = None
     spark = view.reads.sparkSession
     parameters = network.create(config, seed)
     optimizer = AdamW(parameters, rate, decay)
-    vectors = describe(predictors(view, fraction)).cache()
+    vectors = None if view.own_counts else describe(predictors(view, fraction)).cache()
     blocks = sampler.plan(spark, view.reads, epochs * steps, batch_reads, fraction, seed).collect()
     log, best = [], float("inf")
     for epoch in range(1, epochs + 1):
@@ -99,7 +99,7 @@ def train(view: Sequences, out: str | Path, config: network.Config | None = None
             optimizer.step(parameters, gradients)
             total, count, base = total + loss, count + n, base + b
         test = packed(view, vectors, config, split.bounds(view.reads, "test", fraction, eval_reads or None))
-        val = metrics.require_symbols(metrics.compression(infer.score(test, config, parameters), by_file=False))[0].asDict()
+        val = metrics.require_symbols(metrics.compression(infer.score(test, config, parameters, eval_batch_reads), by_file=False))[0].asDict()
         if np.isnan(val["model_avg_bits_per_quality"]):
             raise SequenceError(f"epoch {epoch}: validation gave NaN")
         log.append(
@@ -123,5 +123,6 @@ def train(view: Sequences, out: str | Path, config: network.Config | None = None
         if val["model_avg_bits_per_quality"] < best:
             best = val["model_avg_bits_per_quality"]
             network.save(Path(out) / "best", config, parameters, epoch, val, optimizer.state())
-    vectors.unpersist()
+    if vectors is not None:
+        vectors.unpersist()
     return log

@@ -3,11 +3,15 @@
 reads:      file, read_id, length            (one row per read, empty ones too)
 positions:  file, read_id, pos, observed, pred_key
 predictors: file, pred_key, freqs            (counts of the 95 ids, float)
+
+Positions may hold their own counts (freqs) instead of a pred_key, as those of HDF5 files do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 from qualweave.constants import ALPHABET, TRAIN_FRACTION
 from qualweave.operators.split import counted, train_reads
 from qualweave.session import table
-from qualweave.sources import manifest
+from qualweave.sources import files, manifest
 
 
 @dataclass
@@ -25,6 +29,22 @@ class Sequences:
     #: file, idx, row: where reads begin in rows that were given flat, if they were.
     boundaries: DataFrame | None = None
 
+    @property
+    def own_counts(self) -> bool:
+        return "freqs" in self.positions.columns
+
+
+def stored(spark: SparkSession, paths: Iterable[str | Path], reads_a_task: int = 10_000) -> Sequences:
+    """The reads of HDF5 files (folders give their own files), in which each position has its own counts.
+
+    Files are checked when a scan is planned. Ranges of reads reach the scan where
+    spark.sql.python.filterPushdown.enabled is true; it is set here, as it is off by default.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(files.Hdf5Source)
+    source = spark.read.format("quality_h5").option("path", ",".join(map(str, files.discover(paths)))).option("reads_a_task", reads_a_task)
+    return Sequences(source.option("table", "reads").load(), source.option("table", "positions").load().drop("row_idx"))
+
 
 def flat(rows: DataFrame, boundaries: DataFrame) -> Sequences:
     """Reads of flat rows (file, row, observed, pred_key) that boundaries (file, idx, row) part: read idx has the rows from its boundary up to the next.

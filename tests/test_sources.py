@@ -184,3 +184,63 @@ def test_bar_beside_a_job_ends_with_it(spark):
     with progress.shown(spark, "quiet", on=False, out=quiet) as bar:
         assert bar is None
     assert quiet.getvalue() == ""
+
+
+TINY = "--epochs 1 --steps-per-epoch 1 --batch-reads 2 --eval-batch-reads 1 --d-model 8 --num-heads 2 --num-layers 1 --feedforward-dim 8 --context-length 8 --no-progress".split()
+
+
+def test_own_counts_give_the_features_of_joined_vectors(spark, h5):
+    from pyspark.sql import functions as F
+    from qualweave.functions import predictor
+    from qualweave.operators import scores
+    from qualweave.sources.views import Sequences, stored as view_of
+
+    spark.sparkContext.addPyFile(str(h5 / "h5py.py"))
+    view = view_of(spark, [stored(h5, "a.h5"), stored(h5, "b.h5")], reads_a_task=2)
+    assert view.own_counts
+    keyed = view.positions.withColumn("pred_key", F.concat_ws("/", "read_id", "pos"))
+    joined = scores.features(Sequences(view.reads, keyed.drop("freqs")), predictor.described(keyed.select("file", "pred_key", "freqs")))
+    columns = ["file", "read_id", "pos", "observed", "q_hat", "max_prob", "entropy", "expected_q", "p_true", "true_freq", "residual", "target"]
+    own = scores.features(view)
+    assert "Join" not in own._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in own.select(columns).orderBy(*columns[:3]).collect()]
+    assert len(got) == 2 * sum(LENGTHS) and got == [tuple(r) for r in joined.select(columns).orderBy(*columns[:3]).collect()]
+
+
+def test_command_lines_read_hdf5_files(spark, h5, tmp_path, monkeypatch, capsys):
+    import csv
+    import json
+
+    from qualweave import cli
+
+    spark.sparkContext.addPyFile(str(h5 / "h5py.py"))
+    (tmp_path / "h5").mkdir()
+    names = [stored(tmp_path / "h5", n) for n in ("SRR2.h5", "SRR1.h5")]
+    stored(tmp_path / "h5", "other.h5")
+    monkeypatch.chdir(tmp_path)
+    cli.main(["train", "--output-dir", "out", *TINY, "--eval-max-reads-per-file", "0"])
+    about = json.loads((tmp_path / "out/config.json").read_text())
+    assert about["input_files"] == sorted(names) and about["inputs"] == ["h5"] and about["files"][0]["empty_reads"] == LENGTHS.count(0)
+    assert (tmp_path / "out/train_log.csv").read_text().count("\n") == 2
+
+    def table(where, *flags):
+        cli.main(["predict", "out/best", *flags, "--output-csv", str(tmp_path / where), "--no-progress", "--device", "cpu"])
+        with next((tmp_path / where).glob("part-*")).open(newline="") as f:
+            return list(csv.DictReader(f))
+
+    every = table("all", "--split", "all")
+    assert [r["file"] for r in every] == sorted(names)
+    rows = expected(names[0])
+    bits = sum(-np.log2(max(freqs[observed] / sum(freqs), 1e-12)) for *_, observed, freqs in rows) / len(rows)
+    assert all(int(r["total_symbols"]) == len(rows) and float(r["h5_baseline_avg_bits_per_quality"]) == pytest.approx(bits, abs=1e-6) for r in every)
+    # One file by name, and batches of one read: the same numbers.
+    assert table("one", names[0], "--split", "all", "--batch-reads", "1") == [r for r in every if r["file"] == names[0]]
+    assert [int(r["total_symbols"]) for r in table("test", "h5")] == [sum(LENGTHS[5:])] * 2
+    # Faults: nothing found, an id outside the alphabet, an empty batch.
+    with pytest.raises(FileNotFoundError):
+        table("none", "missing.h5")
+    with pytest.raises(SequenceError, match="observed_range"):
+        table("bad", stored(tmp_path, "bad.h5", observed=np.full(sum(LENGTHS), 95)), "--split", "all")
+    for flags in (["train", "--eval-batch-reads", "0"], ["predict", "out/best", "--batch-reads", "0"]):
+        with pytest.raises(SystemExit):
+            cli.main(flags)
