@@ -30,7 +30,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_workers(spark)
-    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"))
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), round_trip=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -544,14 +545,42 @@ class Encoder:
 
 
 class Decoder:
+    """Texts of piece ids: the bytes of all pieces of a batch are gathered at once."""
+
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.table = [p.encode("utf-8", "surrogatepass") for p in vocabulary.pieces]
+        table = [p.encode("utf-8", "surrogatepass") for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.bytes):
-            self.table[i] = bytes([b])
+            table[i] = bytes([b])
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(x) for x in table])
+        self.start = np.cumsum(self.size) - self.size
+
+    def texts(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """A text for each run of ids of these lengths, without its first character, the space in front of the text."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        data = self.data[np.repeat(self.start[ids] - (ends - size), size) + np.arange(int(size.sum()))]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+        full = bounds[1:] > bounds[:-1]
+        first = bounds[:-1][full]
+        keep = np.ones(len(data), bool)
+        keep[first] = False
+        rest = bounds - np.concatenate([[0], np.cumsum(full)])
+        body = data[keep]
+        heads = body[rest[:-1][rest[1:] > rest[:-1]]]
+        try:
+            body.tobytes().decode("utf-8")
+            whole = not (data[first] >= 0x80).any() and not ((heads & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if not whole:  # pieces that encode() didn't make: no space in front, or bytes that are no text
+            raw = data.tobytes()
+            return pa.array([raw[a:b].decode("utf-8", "replace")[1:] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.large_string())
+        return pa.LargeStringArray.from_buffers(len(rest) - 1, pa.py_buffer(rest.astype(np.int64)), pa.py_buffer(body))
 
     def __call__(self, ids) -> str:
-        table = self.table
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+        ids = np.asarray(ids, np.int64)
+        return self.texts(ids, np.array([len(ids)]))[0].as_py()
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL, round_trip: bool = False) -> DataFrame:
@@ -564,19 +593,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     names = [id_col, "sample", "pieces", "n_pieces", "log_prob", "perturbed", "log_inclusion"]
 
     def rows(encoder: Encoder, decoder: Decoder, ids: pa.Array, texts: list[str | None], keys: list[int]) -> pa.RecordBatch:
-        of, pieces, out, trips = [], [], [], []
+        of, pieces, out = [], [], []
         for i, (text, found) in enumerate(zip(texts, encoder(texts, keys, samples), strict=True)):
             for j, (p, s) in enumerate(found, 1):
                 of.append(i)
                 pieces.append(p)
                 out.append((j, s.log_prob, s.perturbed, s.log_inclusion))
-                if round_trip:
-                    trips.append(decoder(p.tolist()) == (text or ""))
-        lengths = [len(p) for p in pieces]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(pieces), pa.int32()))
+        lengths, every, of = np.array([len(p) for p in pieces]), np.concatenate(pieces), pa.array(of)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(every, pa.int32()))
         sample, *numbers = zip(*out, strict=True)
-        columns = [ids.take(pa.array(of)), pa.array(sample, pa.int32()), lists, pa.array(lengths, pa.int32()), *(pa.array(c, pa.float64()) for c in numbers)]
-        return pa.RecordBatch.from_arrays([*columns, *([pa.array(trips, pa.bool_())] if round_trip else [])], names=[*names, *(["round_trip"] if round_trip else [])])
+        columns = [ids.take(of), pa.array(sample, pa.int32()), lists, pa.array(lengths, pa.int32()), *(pa.array(c, pa.float64()) for c in numbers)]
+        if round_trip:
+            columns.append(pc.equal(decoder.texts(every, lengths), pa.array([t or "" for t in texts], pa.large_string()).take(of)))
+        return pa.RecordBatch.from_arrays(columns, names=[*names, *(["round_trip"] if round_trip else [])])
 
     def sampled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
@@ -601,8 +630,10 @@ def decode(encoded: DataFrame, pieces_col: str = "pieces", name: str = "text", m
     def texts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in source:
-            lists = batch.column(batch.schema.get_field_index(pieces_col)).to_pylist()
-            column = pa.array([None if x is None else decoder(x) for x in lists], pa.string())
+            lists = batch.column(batch.schema.get_field_index(pieces_col))
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            column = pc.if_else(lists.is_valid(), decoder.texts(ids, lengths), pa.scalar(None, pa.large_string())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
     return encoded.mapInArrow(texts, StructType([*encoded.schema.fields, StructField(name, StringType())]))

@@ -129,3 +129,17 @@ def test_trimmed_lattices_give_the_same_samples(monkeypatch, vocabulary):
         some, nodes = sampled(kept)
         assert some == whole
         assert nodes < most
+
+
+def test_decoding_gathers_the_bytes_of_any_pieces(vocabulary):
+    decoder, table = sp.Decoder(vocabulary), [p.encode() for p in vocabulary.pieces]
+    for b, i in enumerate(vocabulary.bytes):
+        table[i] = bytes([b])
+    plain = lambda ids: b"".join(table[i] for i in ids).decode("utf-8", "replace")[1:]
+    rng = np.random.default_rng(3)
+    spelt = [vocabulary.ids[" "], *(vocabulary.bytes[b] for b in "漢".encode())]
+    runs = [[], [vocabulary.ids[" "]], spelt, spelt[1:], spelt[:3], spelt[2:], *(rng.integers(0, len(table), n).tolist() for n in (1, 5, 400))]
+    good = [[vocabulary.ids[" the"]], [], spelt, [vocabulary.ids[" "]]]
+    for some in (runs, good, [[]], *([x] for x in runs), [spelt[:3], spelt[3:]]):
+        got = decoder.texts(np.array(list(itertools.chain.from_iterable(some)), np.int64), np.array([len(x) for x in some]))
+        assert got.to_pylist() == [plain(x) for x in some]
