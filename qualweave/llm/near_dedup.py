@@ -20,15 +20,14 @@ by itself and weighs 1 to 2, a shingle of many occurrences has its share of all
 Links. Samples are banded. In each bucket, texts are compared with the bucket's
 smallest and largest id. Buckets of more texts are narrowed by further samples, level
 by level as in an LSH forest, and texts meet the smallest id of each narrower bucket.
-So what leaders link is never expanded into all pairs. Texts of buckets in which several
-components are left then walk through TABLES orders: in each, texts with DEPTH equal
-samples, another choice each time, are sorted by eight further samples, and each meets
-the next AHEAD ones of other components whose weights can be as alike and whose signatures
-(four bits of each of four times BINS samples) agree in CLOSE of all places, as 997 in
-1,000 pairs of similarity SIMILARITY do. Both numbers follow from the number of such texts n: DEPTH lets
-about AHEAD texts of similarity BACKGROUND stay together, and TABLES finds a pair of
-exactly SIMILARITY all but once in 1 / MISSED; TABLES grows as n to the power 0.44, and
-the work on a text by nothing else. A link is a weighted Jaccard similarity of at least
+So what leaders link is never expanded into all pairs. Between texts of buckets in which
+several components are left, no link is lost: an exact prefix join finds all pairs of
+them across components. Shingles have one order, rarest first by a table of SLOTS counters
+of their hashes (only the cost depends on it). Two texts of similarity SIMILARITY share one in
+the first 1 - SIMILARITY of either's weight, with no more weight before it than their union
+has beside their overlap. Pairs of one shingle are compared in blocks of BLOCK rows, so no task
+holds more, and by sketches, sums of weights by hash, whose least values bound the overlap
+from above. A link is a weighted Jaccard similarity of at least
 SIMILARITY computed from both whole texts. Classes are connected components.
 
 Defined cases: null text is empty; equal texts are always one class, empty texts
@@ -46,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualweave.llm import words
@@ -65,14 +64,13 @@ SETTLED = 3
 PAIRS_A_TEXT = 3
 #: Partners of one leader that one task compares.
 PARTNERS = 1_000
-#: The walk through crowded buckets; see above.
-BACKGROUND, MISSED, AHEAD, CLOSE = 0.6, 0.005, 32, 0.757
-#: Rows of one key of the walk that one task sorts; more are split by their order.
-SORTED = 20_000
+#: Slots that count shingles, for their order; cells of a sketch; rows of one shingle that one task compares with each other.
+SLOTS, CELLS, BLOCK = 1 << 20, 256, 2_000
+#: Room for rounding in bounds.
+SLACK = 1e-6
 U = np.uint64
 _KEYS = [U(0x243F6A8885A308D3 + 0x9E3779B97F4A7C15 * k & (1 << 64) - 1) for k in range(8)]
 _AGAIN = U(0xA24BAED4963EE407)
-_TURNS = [U(0x9FB21C651E98DF25 + 0xD6E8FEB86659FD93 * k & (1 << 64) - 1) for k in range(4)]
 
 
 def smoothed(ratio):
@@ -181,8 +179,8 @@ def samples(s: np.ndarray, owner: np.ndarray, weight: np.ndarray, rows: int) ->
     return drawn, some
 
 
-def signature(s: np.ndarray, owner: np.ndarray, tf: np.ndarray, rows: int, weights: Weights, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """samples of texts with each occurrence of a shingle as an element of its own; each turn gives others, independent of the rest.
+def signature(s: np.ndarray, owner: np.ndarray, tf: np.ndarray, rows: int, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """samples of texts with each occurrence of a shingle as an element of its own.
 
     Least and greatest weights of two texts add up over occurrences to those of the
     shingle, so similarities are the same, and no element weighs more than 2.
@@ -191,8 +189,6 @@ def signature(s: np.ndarray, owner: np.ndarray, tf: np.ndarray, rows: int, weigh
     nth = np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf)
     element, again = s[at], np.flatnonzero(nth)
     element[again] = words.mix(element[again] ^ words.mix(nth[again].astype(U) * _AGAIN))
-    if turn:
-        element = words.mix(element ^ _TURNS[turn])
     return samples(element, owner[at], weights(s, np.ones(len(s)))[at], rows)
 
 
@@ -285,78 +281,143 @@ def _meetings(crowded: DataFrame, leader: str) -> DataFrame:
     return crowded.where((F.col("rep") != of) & alike).select(F.least("rep", of).alias("a"), F.greatest("rep", of).alias("b")).distinct()
 
 
-def walk_plan(n: int) -> tuple[int, int]:
-    """Equal samples that texts of one key share, and the number of orders, for n texts."""
-    depth = max(0.0, np.log(max(n, 1) / AHEAD) / np.log(1 / BACKGROUND))
-    return max(1, round(depth) - 4), max(8, int(np.ceil(np.log(1 / MISSED) / SIMILARITY**depth)))
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
-def _packed(drawn: np.ndarray) -> np.ndarray:
-    """Four bits of each sample, two in a byte."""
-    bits = (drawn >> U(60)).astype(np.uint8)
-    return bits[:, ::2] << 4 | bits[:, 1::2]
+def _slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of texts (id, text) fall on each of SLOTS slots."""
+
+    def counted(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for pdf in source:
+            for _, _, s, _, _ in bags(pdf["text"]):
+                np.add.at(total, _slots(s), 1)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": some, "k": total[some]})
+
+    found = texts.select("text").mapInPandas(counted, "slot long, k long").groupBy("slot").agg(F.sum("k").alias("k")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["k"].to_numpy()
+    return out
 
 
-#: How many of the two halves of a byte are zero.
-_EQUAL = np.array([(v >> 4 == 0) + (v & 15 == 0) for v in range(256)], np.uint8)
+def prefixes(s: np.ndarray, owner: np.ndarray, w: np.ndarray, rows: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle, text, and weight before it, of the rarest shingles of each text: the first 1 - SIMILARITY of its weight."""
+    order = np.lexsort((s, counts[_slots(s)], owner))
+    s, owner, w = s[order], owner[order], w[order]
+    total, upto = np.bincount(owner, w, rows), np.cumsum(w) - w
+    before = upto - upto[np.searchsorted(owner, np.arange(rows))[owner]]
+    begun = before <= (1 - SIMILARITY + SLACK) * total[owner]
+    return s[begun], owner[begun], before[begun]
 
 
-def _neighbours(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, part, place, rep, label, sig) come in order; pairs of close signatures of two components, AHEAD rows apart at most."""
+def sketches(s: np.ndarray, owner: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+    """A (rows, CELLS) matrix of the weight of each text's shingles by hash, in units of the text's weight / 2 ** 15, rounded up."""
+    cell = owner * CELLS + (words.mix(s ^ _KEYS[7]) & U(CELLS - 1)).astype(np.int64)
+    held = np.bincount(cell, w, rows * CELLS).reshape(rows, CELLS)
+    return np.ceil(held * (2.0**15 / np.maximum(held.sum(axis=1, keepdims=True), 1e-9))).astype(np.uint16)
+
+
+def _possible(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of texts of different components, rows of one key and pair of blocks, that can be as alike as SIMILARITY.
+
+    Rows (key, one, two, side, rep, label, weight, before, sketch) come in order. Those of
+    one block are compared if it is paired with itself, else those of one with those of the other.
+    """
     held = None
     for pdf in source:
         whole = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        old = 0 if held is None else len(held)
-        key, rep, label, weight = (whole[c].to_numpy() for c in ("key", "rep", "label", "weight"))
-        sig = np.frombuffer(b"".join(whole["sig"]), np.uint8).reshape(len(whole), -1)
-        found = []
-        for ahead in range(1, min(AHEAD, len(whole) - 1) + 1):
-            at = np.flatnonzero((key[ahead:] == key[:-ahead]) & (label[ahead:] != label[:-ahead]))
-            at = at[at + ahead >= old]
-            # Weights alone keep a pair under SIMILARITY if they differ so much.
-            at = at[np.minimum(weight[at], weight[at + ahead]) >= SIMILARITY * (1 - 1e-9) * np.maximum(weight[at], weight[at + ahead])]
-            for k in range(0, len(at), 100_000):
-                some = at[k : k + 100_000]
-                same = _EQUAL[sig[some] ^ sig[some + ahead]].sum(axis=1, dtype=np.int64)
-                close = some[same >= CLOSE * len(_TURNS) * BINS]
-                found.append(np.stack([rep[close], rep[close + ahead]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        yield pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
-        held = whole.iloc[-AHEAD:]
-
-
-def _walked(texts: DataFrame, labels: DataFrame, n: int, shared) -> DataFrame:
-    """Pairs (a, b) that n texts (id, text) of crowded buckets meet on their walks."""
-    depth, tables = walk_plan(n)
-    orders = [np.random.default_rng(table).permutation(BINS) for table in range(tables)]
-
-    def placed(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups = np.stack([whole[c].to_numpy() for c in ("key", "one", "two")])
+        tail = len(whole) - int((groups != groups[:, -1:]).any(axis=0)[::-1].argmax()) if (groups != groups[:, -1:]).any() else 0
+        held = whole.iloc[tail:]
+        if tail:
+            yield _compared(whole.iloc[:tail], groups[:, :tail])
+    if held is not None and len(held):
+        yield _compared(held, np.stack([held[c].to_numpy() for c in ("key", "one", "two")]))
+
+
+def _compared(pdf: pd.DataFrame, groups: np.ndarray) -> pd.DataFrame:
+    rep, label, side, weight, before = (pdf[c].to_numpy() for c in ("rep", "label", "side", "weight", "before"))
+    n = len(rep)
+    by = np.where(groups[1] == groups[2], label, side)
+    new = np.concatenate([[True], (groups[:, 1:] != groups[:, :-1]).any(axis=0)])
+    runs = np.flatnonzero(new | np.concatenate([[True], by[1:] != by[:-1]]))
+    # Each row meets those of its group from the next run on.
+    at = np.repeat(np.append(runs[1:], n), np.diff(np.append(runs, n)))
+    starts = np.flatnonzero(new)
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    row = np.flatnonzero(at < end)
+    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(n, CELLS)
+    found = [np.zeros((2, 0), np.int64)]
+    at, end = at[row], end[row]
+    while len(row):
+        step = max(1, 2_000_000 // len(row))
+        span = np.minimum(end - at, step)
+        a = np.repeat(row, span)
+        b = np.repeat(at, span) + np.arange(len(a)) - np.repeat(np.cumsum(span) - span, span)
+        both = weight[a] + weight[b]
+        # The overlap that a pair of that similarity has, and the most that is left from here on.
+        least = np.maximum(SIMILARITY / (1 + SIMILARITY) * both, SIMILARITY * np.maximum(weight[a], weight[b]))
+        can = (label[a] != label[b]) & (np.minimum(weight[a] - before[a], weight[b] - before[b]) >= least - SLACK * both)
+        a, b, least, both = a[can], b[can], least[can], both[can]
+        for k in range(0, len(a), 20_000):
+            i, j = a[k : k + 20_000], b[k : k + 20_000]
+            most = np.minimum(sketch[i] * (weight[i] / 2.0**15).astype(np.float32)[:, None], sketch[j] * (weight[j] / 2.0**15).astype(np.float32)[:, None]).sum(axis=1, dtype=np.float64)
+            close = most >= least[k : k + 20_000] - SLACK * both[k : k + 20_000]
+            found.append(np.stack([rep[i[close]], rep[j[close]]]))
+        at = at + span
+        row, at, end = (v[at < end] for v in (row, at, end))
+    pairs = np.concatenate(found, axis=1)
+    pairs = np.unique(np.stack([pairs.min(axis=0), pairs.max(axis=0)]), axis=1)
+    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+
+def _rest(texts: DataFrame, labels: DataFrame, shared) -> DataFrame:
+    """All pairs (a, b) of texts (id, text) of different components that can be as alike as SIMILARITY; no pair that is gets lost."""
+    counts = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts))
+
+    def begun(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = Weights(*shared.value)
         for pdf in source:
-            out = []
+            out, ids = [], pdf["id"].to_numpy()
             for first, rows, s, owner, tf in bags(pdf["text"]):
-                drawn, some = signature(s, owner, tf, rows, weights)
-                turns = [signature(s, owner, tf, rows, weights, turn)[0] for turn in range(1, len(_TURNS))]
-                weight = np.bincount(owner, weights(s, tf), rows)
-                sig, keys, places = _packed(np.concatenate([drawn, *turns], axis=1)), np.empty((rows, tables), np.int64), np.empty((rows, tables), np.int64)
-                for t, order in enumerate(orders):
-                    acc = words.mix(np.full(rows, t, U) ^ _AGAIN)
-                    for k in range(depth):
-                        acc = words.mix(acc + drawn[:, order[k]])
-                    place = np.zeros(rows, U)
-                    for k in range(8):
-                        place = place << U(8) | drawn[:, order[(depth + k) % BINS]] >> U(56)
-                    keys[:, t], places[:, t] = acc.view(np.int64), (place >> U(1)).view(np.int64)
-                out += [(pdf["id"].iloc[first + i], weight[i], sig[i].tobytes(), keys[i], places[i]) for i in range(rows) if some[i]]
-            yield pd.DataFrame(out, columns=["rep", "weight", "sig", "keys", "places"])
-
-    entries = cut(texts.mapInPandas(placed, "rep long, weight double, sig binary, keys array<long>, places array<long>").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-    each = entries.select("rep", "label", "weight", "sig", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("rep", "label", "weight", "sig", F.col("e.keys").alias("key"), F.col("e.places").alias("place"))
-    # Keys of one component have nothing to compare; a crowded one is split along its order.
-    several = each.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.count("*").alias("n")).where("one < two").select("key", F.ceil(F.col("n") / SORTED).cast("long").alias("parts"))
-    parted = each.join(cut(several), "key").withColumn("part", F.floor(F.shiftright("place", 31) * F.col("parts") / (1 << 32)).cast("int"))
-    ordered = parted.select("key", "part", "place", "rep", "label", "weight", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "place", "rep")
-    return ordered.mapInPandas(_neighbours, "a long, b long").distinct()
+                w = weights(s, tf)
+                total, cells = np.bincount(owner, w, rows), sketches(s, owner, w, rows)
+                keys, own, before = prefixes(s, owner, w, rows, counts.value)
+                edge = np.searchsorted(own, np.arange(rows + 1))
+                for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                    out.append((ids[first + i], total[i], cells[i].tobytes(), keys[a:b].view(np.int64), before[a:b]))
+            yield pd.DataFrame(out, columns=["rep", "weight", "sketch", "keys", "befores"])
+
+    entries = texts.mapInPandas(begun, "rep long, weight double, sketch binary, keys array<long>, befores array<double>")
+    entries = cut(entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    keys = entries.select("rep", "label", F.explode("keys").alias("key"))
+    # Keys of one component have nothing to compare. Rows of others are dealt in blocks; a component of many has blocks of its own, which needn't meet.
+    several = cut(keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+    each = entries.select("rep", "label", "weight", "sketch", F.explode(F.arrays_zip("keys", "befores")).alias("e")).select("rep", "label", "weight", "sketch", F.col("e.keys").alias("key"), F.col("e.befores").alias("before"))
+    each = each.join(several, "key")
+    alone = each.where(F.col("n") <= BLOCK).withColumns({"one": F.lit(0), "two": F.lit(0), "side": F.lit(0)})
+    crowded = several.where(F.col("n") > BLOCK).select("key")
+    if not crowded.isEmpty():
+        held = keys.join(crowded, "key").groupBy("key", "label").agg(F.count("*").alias("m"))
+        held = held.withColumn("own", F.when(F.col("m") > BLOCK, F.col("label")))
+        parts = held.groupBy("key", "own").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("parts"))
+        blocks = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        blocks = cut(blocks.withColumn("block", F.row_number().over(Window.partitionBy("key").orderBy("own", "part"))))
+        x, y = (blocks.select("key", F.col("own").alias(f"own{c}"), F.col("block").alias(c)) for c in ("one", "two"))
+        pairs = x.join(y, "key").where("one <= two and not coalesce(ownone = owntwo, false)").select("key", "one", "two")
+        sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+        dealt = each.drop("n").join(cut(held), ["key", "label"]).withColumnRenamed("own", "of")
+        dealt = dealt.join(blocks.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("of").eqNullSafe(F.col("own")) & (F.pmod(F.xxhash64("rep"), F.col("parts")) == F.col("part")))
+        dealt = dealt.select("key", "rep", "label", "weight", "sketch", "before", "block").join(sides, ["key", "block"]).withColumn("side", F.col("block"))
+        alone = alone.select(*_ROW).unionByName(dealt.select(*_ROW))
+    by = F.when(F.col("one") == F.col("two"), F.col("label")).otherwise(F.col("side"))
+    ordered = alone.select(*_ROW).repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", by, "rep")
+    return ordered.mapInPandas(_possible, "a long, b long").distinct()
+
+
+_ROW = ["key", "one", "two", "side", "rep", "label", "weight", "before", "sketch"]
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -406,12 +467,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = cut(_with_leaders(finer.select("rep", "weight", F.posexplode("keys").alias("place", "key"))))
     pairs = cut(pairs.union(_meetings(narrow, "low")).distinct())
     labels = components(cut(_verified(pairs, known, shared)))
-    # Texts of buckets in which several components are left go on a walk.
+    # Texts of buckets in which several components are left are compared across them, all that can be similar.
     crowd = crowded.where(F.col("n") > SETTLED).select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     several = cut(crowd.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one < two").select("key"))
-    walkers = cut(crowd.join(several, "key", "left_semi").select(F.col("rep").alias("id")).distinct())
-    if walking := walkers.count():
-        found = cut(_walked(known.join(sized(walkers), "id", "left_semi"), labels, walking, shared).join(pairs, ["a", "b"], "left_anti"))
+    open_ = cut(crowd.join(several, "key", "left_semi").select(F.col("rep").alias("id")).distinct())
+    if not open_.isEmpty():
+        found = cut(_rest(known.join(sized(open_), "id", "left_semi"), labels, shared).join(pairs, ["a", "b"], "left_anti"))
         rounds = int(np.ceil(found.count() / (PAIRS_A_TEXT * n)))
         for k in range(rounds):
             now = found.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)

@@ -206,3 +206,42 @@ def test_word_hashes_do_not_depend_on_batches():
     h, _, _, offsets = words.word_hashes([t.encode() for t in texts])
     assert [h[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == whole
     assert whole[0] == whole[3][:3] and whole[2] == whole[0][1:2]
+
+
+def crowd(seed, texts, copies):
+    """A family too alike for bands and not similar, in which some texts have one similar copy each."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(70)]
+    family = [[*base[:30], word(), *base[31:]] for _ in range(texts)]
+    return [(i, " ".join(t)) for i, t in enumerate(family)] + [(10_000 + i, " ".join([*t[:50], word(), *t[51:]])) for i, t in enumerate(family[:copies])]
+
+
+def test_no_link_of_a_crowd_is_lost(spark):
+    got = near_dedup.near_classes(docs(spark, crowd(1, 1000, 400))).collect()
+    assert {r.doc_id: r.class_id for r in got} == {r.doc_id: r.doc_id % 10_000 for r in got}
+
+
+def test_rest_in_blocks_has_all_links_of_all_pairs(spark, monkeypatch):
+    """Whatever the blocks, components and batches, similar texts of two components are among the pairs."""
+    data = [*crowd(2, 60, 30), *((d + 50_000, t) for d, t in corpus(6) if t and t.strip())]
+    n, texts = len(data), [t for _, t in data]
+    shared = spark.sparkContext.broadcast((n, near_dedup.common_shingles(docs(spark, data), "text", n)))
+    known = docs(spark, data).select(F.col("doc_id").alias("id"), "text")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "id long, label long")
+    label = lambda d: 0 if d < 20 else d
+    weights = near_dedup.Weights(*shared.value)
+    wanted = set()
+    for d, t in data:
+        s = near_dedup.similarities([t], np.zeros(n, np.int64), texts, weights)
+        wanted |= {(d, e) for (e, _), v in zip(data, s) if d < e and v >= near_dedup.SIMILARITY and label(d) != label(e)}
+    assert len(wanted) > 50
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for block, batch in ((2000, 1000), (7, 5), (2, 3)):
+            monkeypatch.setattr(near_dedup, "BLOCK", block)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = {(r.a, r.b) for r in near_dedup._rest(known, labels, shared).collect()}
+            assert wanted <= got and all(label(a) != label(b) for a, b in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
