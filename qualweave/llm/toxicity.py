@@ -140,21 +140,34 @@ def _featurize(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"place": pdf["place"], "toxic": pdf["toxic"], "f": [_packed(features(t)) for t in pdf["text"]]})
 
 
+def _fitted(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of all rows. Packed features stay packed but for one batch at a time."""
+    place, toxic, features = [], [], []
+    for pdf in source:
+        place += pdf["place"].tolist()
+        toxic += pdf["toxic"].tolist()
+        features += pdf["f"].tolist()
+    order = np.argsort(np.array(place, np.int64), kind="stable")
+    model = fit([features[i] for i in order], np.array(toxic, np.int64)[order])
+    yield pd.DataFrame({"ratio": [model.ratio.tobytes()], "weight": [model.weight.tobytes()], "bias": [model.bias], "fitted": [model.fitted]})
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, usable=None) -> Model:
     """labels: id and toxic. usable: a condition on the id that labelled rows for the fit meet."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         known = known.where(usable)
     chosen = known.groupBy(id_col).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
-    # fit_rows bounds what is broadcast and, as each id gives one row, what is collected.
+    # fit_rows bounds what is broadcast and, as each id gives one row, what the fit reads.
     spark = docs.sparkSession
     listed = spark.createDataFrame(chosen.toPandas(), chosen.schema)
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(listed), id_col)
     rows = rows.groupBy(id_col).agg(F.min(F.struct(F.xxhash64(id_col, "text").alias("place"), "toxic", "text")).alias("r")).select("r.*")
-    # Packed features stay packed on the driver but for one batch at a time.
-    sample = rows.mapInPandas(_featurize, "place long, toxic int, f binary").collect()
-    sample.sort(key=lambda r: r.place)
-    return fit([bytes(r.f) for r in sample], np.array([r.toxic for r in sample], np.int64))
+    # The at most fit_rows packed rows meet in one task; the driver gets the model alone.
+    fitted = rows.mapInPandas(_featurize, "place long, toxic int, f binary").repartition(1).mapInPandas(_fitted, "ratio binary, weight binary, bias double, fitted boolean").first()
+    if fitted is None:
+        return fit([], np.zeros(0, np.int64))
+    return Model(np.frombuffer(fitted.ratio, np.float32), np.frombuffer(fitted.weight, np.float32), fitted.bias, fitted.fitted)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -307,3 +307,23 @@ def test_tables_hold_winning_rows_and_not_their_batches():
             whole[row["text"]] = max(rank, row["rank"]), rows + row["rows"]
         assert len(whole) == 601 and whole[long] == (1198, 600)
         assert all(rows == 1 for text, (_, rows) in whole.items() if text != long)
+
+
+def test_fit_leaves_the_driver_alone(spark, monkeypatch):
+    """Rows for the fit meet in a task; the model is that of a fit over them."""
+    from qualweave.session import ensure_workers
+
+    ensure_workers(spark)
+    data = docs(spark, [(i, f"bad words {i}" if i % 3 == 0 else f"kind text {i}") for i in range(60)])
+    labels = data.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    own, fit = toxicity.Features(), toxicity.fit
+    places = {r.doc_id: r.p for r in data.select("doc_id", F.xxhash64("doc_id", "text").alias("p")).collect()}
+    rows_ = sorted(data.select("doc_id", "text").collect(), key=lambda r: places[r.doc_id])
+    wanted = fit([toxicity._packed(own(r.text)) for r in rows_], np.array([int(r.doc_id % 3 == 0) for r in rows_]))
+
+    def never(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(toxicity, "fit", never)
+    got = toxicity.train(data, labels)
+    assert (got.ratio == wanted.ratio).all() and (got.weight == wanted.weight).all() and (got.bias, got.fitted) == (wanted.bias, True)
