@@ -161,6 +161,49 @@ def test_recall_with_deleted_and_inserted_words(spark):
     assert all(v >= (0.7 if c == (60, 0.15) else 0.92) for c, v in recall.items()), recall
 
 
+def test_every_passage_of_replaced_words_that_meets_the_threshold(spark):
+    """At four words in five alike, no five words need be equal, and only a part of the alignment may hold."""
+    rng = random.Random(31)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    every = {"replaced": lambda w: text(1), "deleted": lambda w: [], "inserted": lambda w: [w, *text(1)]}
+    data, expected = [], set()
+    for i in range(150):
+        whole, at = text(70 if i < 30 else 60 if i < 90 else 120), 10 * i
+        if i < 30:
+            edit = list(every.values())[i % 3]
+            edits = [v for k, w in enumerate(whole) for v in (edit(w) if k % 5 == 4 else [w])]
+            expected.add((at + 1, at))
+        else:
+            edits = [text(1)[0] if rng.random() < 0.2 else w for w in whole]
+            same = [v == w for v, w in zip(whole, edits, strict=True)]
+            upto = [sum(same[:k]) for k in range(len(same) + 1)]
+            if any(same[a] and same[b - 1] and upto[b] - upto[a] >= 0.8 * (b - a) for a in range(len(same)) for b in range(a + 50, len(same) + 1)):
+                expected.add((at + 1, at))
+        data += [(at, " ".join(text(40) + whole + text(30))), (at + 1, " ".join(text(20) + edits + text(40)))]
+    got = {(r.doc_id, r.ref_id) for r in substring_chain.passages(docs(spark, data)).collect()}
+    assert got == expected and len(expected) > 100
+
+
+def test_kmers_are_matched_beyond_their_first_occurrence():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 3000
+    h, doc, x, beside = rng.integers(0, 700, n).astype(np.uint32), rng.integers(0, 90, n), rng.permutation(n).astype(np.int32), rng.integers(1, 1 << 30, n).astype(np.uint32)
+    left, right = substring_chain._kmer_pairs(h, doc, x, beside)
+    got = set(zip(left.tolist(), right.tolist(), strict=True))
+    groups = {}
+    for i in range(n):
+        groups.setdefault(int(h[i]), []).append(i)
+    for own in groups.values():
+        for i in own:
+            for j in own:
+                alike = bool(substring_chain._alike(beside[[i]], beside[[j]])[0])
+                if doc[j] < doc[i]:
+                    assert len(own) > substring_chain.EACH or ((i, j) in got) == alike
+    assert any(len(own) > substring_chain.EACH for own in groups.values()) and all(h[i] == h[j] and doc[j] < doc[i] for i, j in got)
+
+
 def test_extension_over_edits():
     a = np.arange(100, 160)
     cases = [
