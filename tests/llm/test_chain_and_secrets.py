@@ -312,3 +312,39 @@ def test_candidates_are_described_whole():
     describe = secret_forest.Describer(list(secret_forest.dictionary()))
     f = dict(zip(secret_forest.FEATURES, describe(long, 0, len(long)), strict=True))
     assert f["length"] == len(long) and f["slashes"] == 400 and f["digits"] == 401 / len(long) and f["distinct"] == len(set(long)) / len(long)
+
+
+def test_screen_keeps_all_that_extension_reaches():
+    """_reached may only rule out what _ends doesn't get over."""
+    rng = random.Random(3)
+    ruled_out = 0
+    for _ in range(3000):
+        kinds, rate, n = rng.choice((3, 6, 30, 1000)), rng.choice((0.1, 0.2, 0.3, 0.5, 1.0)), rng.randrange(8, 24)
+        word = lambda: rng.randrange(1, kinds + 1)  # noqa: B023, E731
+        a, b = [word() for _ in range(rng.randrange(20, 90))], []
+        for w in a:
+            b += [w] if rng.random() >= rate else rng.choice(([word()], [], [w, word()], [word(), word()]))
+        ref, doc = np.zeros((1, 23), np.uint16), np.zeros((1, 40), np.uint16)
+        ref[0, : min(23, len(b))], doc[0, : min(40, len(a))] = b[:23], a[:40]
+        kept = bool(substring_chain._reached(ref, doc, np.array([n]))[0])
+        assert kept or max(e[1] for e in substring_chain._ends(np.array(a), np.array(b))) < n
+        ruled_out += not kept
+    assert ruled_out > 100
+
+
+def test_chance_matches_are_left_out_before_texts_are_sent(spark, monkeypatch):
+    """Pairs that share a few words by chance aren't aligned, those of edited passages are; shuffle files don't outlive their jobs."""
+    rng = random.Random(17)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    line = text(6)
+    data = [(i, " ".join(text(60) + line + text(60))) for i in range(40)]
+    whole = text(60)
+    data += [(100, " ".join(text(30) + whole + text(30))), (101, " ".join(text(30) + [w if k % 8 else text(1)[0] for k, w in enumerate(whole)] + text(30)))]
+    chains, left, sure = [], [], substring_chain._sure
+    monkeypatch.setattr(substring_chain, "_sure", lambda c, coded: chains.append(c) or left.append(sure(c, coded)) or left[-1])
+    files = lambda: sum(1 for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle" in f)
+    before = files()
+    found = substring_chain.passages(docs(spark, data))
+    assert files() <= before
+    assert {(r.doc_id, r.ref_id) for r in found.collect()} == {(101, 100)}
+    assert chains[0].count() > 30 and [(r.doc, r.ref) for r in left[0].collect()] == [(101, 100)]
